@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from corvane.llm import decontaminate, mixture, quality, shards, simhash
+from corvane.llm import decontaminate, mixture, quality, secrets, shards, simhash, tokencount, warc
 
 QUERIES = {
     "op1_quality": quality.query,
     "op3_sharding": shards.query,
+    "op4_token_counts": tokencount.query,
     "op5_decontamination": decontaminate.query,
     "op7_mixing": mixture.query,
+    "op8_warc": warc.query,
     "op9_simhash": simhash.query,
+    "op10_secrets": secrets.query,
 }
-ORACLE_SQL = {"op5_decontamination": decontaminate.ORACLE}
+ORACLE_SQL = {"op5_decontamination": decontaminate.ORACLE, "op8_warc": warc.ORACLE}
