@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from corvane.llm import decontaminate, mixture, quality, secrets, shards, simhash, tokencount, warc
+from corvane.llm import decontaminate, lattice, mixture, quality, secretscan, shards, simhash, tokencount, warc
 
 QUERIES = {
     "op1_quality": quality.query,
     "op3_sharding": shards.query,
     "op4_token_counts": tokencount.query,
     "op5_decontamination": decontaminate.query,
+    "op6_lattice": lattice.query,
     "op7_mixing": mixture.query,
     "op8_warc": warc.query,
     "op9_simhash": simhash.query,
-    "op10_secrets": secrets.query,
+    "op10_secrets": secretscan.query,
 }
-ORACLE_SQL = {"op5_decontamination": decontaminate.ORACLE, "op8_warc": warc.ORACLE}
+ORACLE_SQL = {"op5_decontamination": decontaminate.ORACLE, "op6_lattice": lattice.ORACLE, "op8_warc": warc.ORACLE}
