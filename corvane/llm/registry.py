@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corvane.llm import decontaminate, lattice, mixture, quality, secretscan, shards, simhash, tokencount, warc
+from corvane.llm import decontaminate, lattice, mixmodel, mixture, quality, secretscan, shards, simhash, tokencount, warc
 
 QUERIES = {
     "op1_quality": quality.query,
+    "op2_context_mixing": mixmodel.query,
     "op3_sharding": shards.query,
     "op4_token_counts": tokencount.query,
     "op5_decontamination": decontaminate.query,
