@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from corvane.plans import vector_plans
+
+MODULES = [vector_plans]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
