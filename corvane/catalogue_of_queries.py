@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import pair_plans, vector_plans
+from corvane.plans import diff_plans, pair_plans, vector_plans
 
-MODULES = [vector_plans, pair_plans]
+MODULES = [vector_plans, pair_plans, diff_plans]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
