@@ -17,12 +17,13 @@ import zlib
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.runtime import materialise, scratch_dir, ship, table
 
-LEAST_SHARED, PAGES_A_FILE, PIECE = 100, 4000, 1 << 20
+LEAST_SHARED, PIECE = 100, 1 << 20
 _DATE = "2026-01-01T00:00:00Z"
 
 
@@ -110,53 +111,46 @@ def _commit(fs, temp: str, final: str) -> None:
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, digest, size, kind, refers_to): which record each page becomes."""
+    """(page_id, url, html, digest, size, kind, refers_to): which record each page becomes.
+
+    What a page becomes is settled on digests alone; the payloads are moved once, to where their page_id's decision is.
+    """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"))
-    first = rows.where(F.col("size") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"))
-    told = rows.join(first, "digest", "left")
+    ids = rows.select("page_id", "digest", "size").distinct()
+    first = ids.where(F.col("size") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"))
     again = F.col("first").isNotNull() & (F.col("first") != F.col("page_id"))
-    return told.select(
-        "page_id", "url", F.when(again, F.lit("")).otherwise(F.col("html")).alias("html"), "digest", "size",
-        F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"),
-    )
+    told = ids.join(first, "digest", "left").select("page_id", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"))
+    return rows.join(told, ["page_id", "digest"])
 
 
-def write_monolithic(pages: DataFrame, folder: str, files: int) -> DataFrame:
-    """Archives of one gzip stream each below ``folder``; returns (file, records).
+def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
+    """Archives of one gzip stream each below ``folder``, one for a task; returns (file, records).
 
     Rows with a null page_id can't be named by a record and are left out; repeated rows repeat their record.
     """
     ship(pages.sparkSession)
-    planned = plan_records(pages.where("page_id is not null"))
-    dealt = planned.withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(files)).cast("int")).repartition(files, "part").sortWithinPartitions("part", "page_id")
+    columns = ("page_id", "url", "html", "digest", "size", "kind", "refers_to")
 
     def run(batches):
         fs, top = _place(folder)
         fs.create_dir(top)
-        now, out, temp, n, done = None, None, "", 0, []
-
-        def close():
-            out.close()
-            _commit(fs, temp, f"{top}/pages-{now:06d}.warc.gz")
-            done.append((f"pages-{now:06d}.warc.gz", n))
-
+        name, temp, n, out, raw = f"pages-{TaskContext.get().partitionId():06d}.warc.gz", f"{top}/.{uuid.uuid4().hex}", 0, None, None
         for b in batches:
-            for r in b.to_pylist():
-                if r["part"] != now:
-                    if out:
-                        close()
-                    now, n, temp = r["part"], 0, f"{top}/.{uuid.uuid4().hex}"
-                    out = gzip.GzipFile(fileobj=fs.open_output_stream(temp, compression=None), mode="wb", compresslevel=6, mtime=0)
-                    raw = out.fileobj
-                    out.myfileobj = raw  # closed with the archive
-                out.write(record(r["page_id"], r["url"], r["html"].encode("utf-8", "surrogatepass"), r["kind"], r["digest"], r["size"], r["refers_to"]))
+            for k in range(b.num_rows):
+                page, url, html, digest, size, kind, refers = (b.column(c)[k].as_py() for c in range(len(columns)))
+                if out is None:
+                    raw = fs.open_output_stream(temp, compression=None)
+                    out = gzip.GzipFile(fileobj=raw, mode="wb", compresslevel=6, mtime=0)
+                out.write(record(page, url, html.encode("utf-8", "surrogatepass"), kind, digest, size, refers))
                 n += 1
-        if out:
-            close()
-        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())], names=["file", "records"])
+        if out is not None:
+            out.close()
+            raw.close()
+            _commit(fs, temp, f"{top}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["file", "records"])
 
-    return dealt.mapInArrow(run, "file string, records long")
+    return plan_records(pages.where("page_id is not null")).select(*columns).mapInArrow(run, "file string, records long")
 
 
 def normalise(archives: DataFrame, folder: str, target: str) -> DataFrame:
@@ -217,14 +211,13 @@ def read_records(index: DataFrame, target: str, payloads: bool = False) -> DataF
     return index.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
 
 
-def round_trip(pages: DataFrame, folder: str, pages_a_file: int = PAGES_A_FILE) -> DataFrame:
+def round_trip(pages: DataFrame, folder: str) -> DataFrame:
     """Write ``pages`` as monolithic archives, normalise them, and read all records back by their index.
 
     A page with a null id has no record and so no row; null and empty html is an empty payload.
     """
-    spark = pages.sparkSession
-    files = max(1, -(-pages.count() // pages_a_file), min(spark.sparkContext.defaultParallelism, 8))
-    written = materialise(write_monolithic(pages, f"{folder}/whole", files), "archives")
+    written = materialise(write_monolithic(pages, f"{folder}/whole"), "archives")
+    files = max(1, written.count())
     index = materialise(normalise(written.repartition(files, "file"), f"{folder}/whole", f"{folder}/members"), "index")
     return read_records(index.repartition(files, "file").sortWithinPartitions("file", "offset"), f"{folder}/members")
 
