@@ -106,8 +106,8 @@ def rate_of(p: Column, steps: list[list[float]], most: float) -> Column:
 def fit(cells: DataFrame, targets: list[float], most: float) -> list[list[float]]:
     """Projected gradient over ``cells`` (_p, n): minimises the squared relative errors of the domains' expected tokens.
 
-    The budget is the largest that no domain has to exceed its tokens times ``most`` for. A domain
-    without tokens can't be matched and is left out.
+    The budget is such that the domain of the largest target keeps its tokens as they are. A domain without
+    tokens can't be matched and is left out; one that falls short even at the largest rate stays there.
     """
     k = len(targets)
 
@@ -121,43 +121,44 @@ def fit(cells: DataFrame, targets: list[float], most: float) -> list[list[float]
     if not live:
         return []
     share = sum(targets[j] for j in live)
-    budget = min(have[j] / min(1.0, most) * most / (targets[j] / share) for j in live)
+    main = max(live, key=lambda j: (targets[j], -j))
+    budget = have[main] / (targets[main] / share)
     goal = [targets[j] / share * budget if j in live else 0.0 for j in range(k)]
     steps: list[list[float]] = []
     now = have
     for _ in range(STEPS):
         error = [(now[j] - goal[j]) / have[j] if have[j] > 0 else 0.0 for j in range(k)]
-        if max(map(abs, error)) < TOLERANCE:
-            break
+        if max(map(abs, error)) < TOLERANCE or steps and max(abs(a - b) for a, b in zip(error, steps[-1])) < TOLERANCE / 10:
+            break  # met, or as near as the limits of the rates let it come
         steps.append([round(e, 9) for e in error])
         now = expected(steps)
     return steps
 
 
-def mix(docs: DataFrame, domains: DataFrame, targets: tuple = TARGETS, most: float = 1.0, scored: DataFrame | None = None) -> DataFrame:
-    """``docs`` with n_tokens, posterior (array), rate and copies (rate rounded up or down by a hash of the id).
+def mix(docs: DataFrame, domains: DataFrame, targets: tuple = TARGETS, most: float = 1.0) -> DataFrame:
+    """For each row doc_id, row (a hash of the text), n_tokens, posterior (array), rate and copies (rate rounded up or down by a hash of the id).
 
     Null and empty texts have no tokens and the prior's posterior; null ids hash like others, and
     repeated rows share their rate and copies.
     """
     priors, ratios = classifier(docs, domains, len(targets))
-    narrow = materialise(posteriors(docs.select("doc_id", "text"), priors, ratios).select("doc_id", "_n", "_p"), "posteriors")
-    cells = materialise(narrow.groupBy("_p").agg(F.sum("_n").alias("n")), "cells")
-    steps = fit(cells, list(targets), most)
+    told = posteriors(docs.select("doc_id", "text"), priors, ratios)
+    narrow = materialise(told.select("doc_id", F.xxhash64("text").alias("row"), F.col("_n").alias("n_tokens"), F.col("_p").alias("posterior")), "posteriors")
+    cells = materialise(narrow.groupBy(F.col("posterior").alias("_p")).agg(F.sum("n_tokens").alias("n")), "cells")
+    rows = narrow.withColumn("rate", rate_of(F.col("posterior"), fit(cells, list(targets), most), most))
     spread = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1_000_000)) / 1e6
-    rows = narrow if scored is None else posteriors(scored, priors, ratios)
-    rows = rows.withColumn("rate", rate_of(F.col("_p"), steps, most))
-    return rows.withColumn("copies", F.floor(F.col("rate") + spread).cast("long")).withColumnRenamed("_n", "n_tokens").withColumnRenamed("_p", "posterior")
+    return rows.withColumn("copies", F.floor(F.col("rate") + spread).cast("long"))
 
 
 def mixed(docs: DataFrame, domains: DataFrame, targets: tuple = TARGETS, most: float = 1.0) -> DataFrame:
     """``docs`` with each row repeated as often as its copies say (with ``most`` 1: kept or left out)."""
-    names = docs.columns
-    out = mix(docs, domains, targets, most, scored=docs.select(*names, *(["text"] if "text" not in names else [])))
-    out = out.where("copies > 0")
-    if most > 1:
-        out = out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*names)
+    told = materialise(mix(docs, domains, targets, most).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "copies").where("copies <> 1").distinct(), "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row"))
+    kept = docs.join(told.where("copies = 0"), same, "left_anti")
+    if most <= 1:
+        return kept
+    more = told.where("copies > 1").withColumnRenamed("copies", "_copies")
+    return kept.join(more, same, "left").withColumn("_k", F.explode(F.sequence(F.lit(1), F.coalesce(F.col("_copies"), F.lit(1)).cast("int")))).select(*docs.columns)
 
 
 def labelled(labels: DataFrame) -> DataFrame:
