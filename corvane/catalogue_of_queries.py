@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import diff_plans, pair_plans, vector_plans
+from corvane.plans import catalog_plans, diff_plans, pair_plans, store_plans, vector_plans
 
-MODULES = [vector_plans, pair_plans, diff_plans]
+MODULES = [vector_plans, pair_plans, diff_plans, store_plans, catalog_plans]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
