@@ -118,13 +118,13 @@ def near_duplicates(docs: DataFrame, dense: int = DENSE) -> DataFrame:
     return rows.join(named.join(root, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, dense: int = DENSE) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest id.
+def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group of ``groups`` (doc_id, component_id): that with the smallest id.
 
     Rows whose id is null stay, for nothing names them. Rows repeated under one id count as one
     document; should there be any, one of them stays.
     """
-    found = materialise(near_duplicates(docs, dense).select("doc_id", "component_id"), "groups")
+    found = materialise(groups.select("doc_id", "component_id"), "groups")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
     again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
