@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from corvane.llm.text import ascii_lower
 from corvane.runtime import materialise, table
 
-BUCKETS = 8192
+BUCKETS = 32_768
 #: The classifier learns from about so many labelled documents at most, chosen by a hash of the id.
 SAMPLE = 20_000
-PRIOR_COUNT, LEAST_Z, STEPS, TOLERANCE = 50.0, 4.0, 60, 1e-4
+PRIOR_COUNT, LEAST_Z, LEAST_RATIO, STEPS, TOLERANCE = 50.0, 5.0, 2.0, 60, 1e-4
 #: Domains of the labelled table and the shares of tokens that they are to have.
 DOMAINS, TARGETS = ("clean", "toxic", "poor"), (0.96, 0.01, 0.03)
 
@@ -38,8 +38,9 @@ def _bucket(word: Column) -> Column:
 
 
 def classifier(docs: DataFrame, domains: DataFrame, k: int, sample: int = SAMPLE) -> tuple[list[float], dict[int, list[float]]]:
-    """Log priors and, for word buckets whose use differs between domains, log ratios to the overall use.
+    """Log priors and, for word buckets whose share of documents differs between domains, log ratios to the overall share.
 
+    Documents are counted, not words, so that one that repeats itself weighs no more than others.
     ``domains``: doc_id, domain (int from 0). Only buckets x domains counts reach the driver.
     """
     known = domains.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
@@ -48,21 +49,21 @@ def classifier(docs: DataFrame, domains: DataFrame, k: int, sample: int = SAMPLE
     priors = [0] * k
     for d, c in few.groupBy("domain").count().collect():
         priors[d] = c
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("domain", F.explode(_words(F.col("text"))).alias("w"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("domain", F.explode(F.array_distinct(F.transform(_words(F.col("text")), _bucket))).alias("b"))
     counts = [[0.0] * BUCKETS for _ in range(k)]
-    for d, b, c in rows.groupBy("domain", _bucket(F.col("w")).alias("b")).count().collect():
+    for d, b, c in rows.groupBy("domain", "b").count().collect():
         counts[d][b] = float(c)
-    total = [sum(c) for c in counts]
-    whole = sum(total)
+    total, whole = priors, sum(priors)
     ratios = {}
     for b in range(BUCKETS):
         both = sum(c[b] for c in counts)
         if not both:
             continue
         p = both / whole
-        z = max(abs(c[b] - t * p) / math.sqrt(t * p + 1) for c, t in zip(counts, total))
-        if z >= LEAST_Z:
-            ratios[b] = [math.log((c[b] + PRIOR_COUNT * p) / (t + PRIOR_COUNT) / p) for c, t in zip(counts, total)]
+        z = max(abs(c[b] - t * p) / math.sqrt(t * p * (1 - p) + 1) for c, t in zip(counts, total))
+        told = [math.log((c[b] + PRIOR_COUNT * p) / (t + PRIOR_COUNT) / p) for c, t in zip(counts, total)]
+        if z >= LEAST_Z and max(told) >= math.log(LEAST_RATIO):
+            ratios[b] = told
     return [math.log((c + 1) / (sum(priors) + k)) for c in priors], ratios
 
 
@@ -80,7 +81,7 @@ def posteriors(docs: DataFrame, priors: list[float], ratios: dict[int, list[floa
     for at, b in enumerate(sorted(ratios), 1):
         place[b] = at
     where = _literal(place, "int")
-    told = F.filter(F.transform("_w", lambda w: F.get(where, _bucket(w))), lambda i: i > 0)
+    told = F.array_distinct(F.filter(F.transform("_w", lambda w: F.get(where, _bucket(w))), lambda i: i > 0))
     out = docs.withColumn("_w", _words(F.col("text"))).withColumn("_n", F.size("_w").cast("long")).withColumn("_i", told)
     sums = []
     for d, prior in enumerate(priors):
