@@ -1,7 +1,8 @@
 """Near-duplicate stage: documents whose five-word shingles overlap by 0.8 or more, through SimHash pivot tables.
 
 A SimHash fingerprint of 256 bits is kept for each distinct text. Candidates meet under anchors, the least
-shingle hash under each of several orders, which two texts of similarity s share with probability s each. In
+shingle hash under each of several orders, which two texts of similarity s share with probability s each, within
+classes of size: a text is filed under its own class and also calls at the next one. In
 blocks of bounded size their Hamming distances to many reference fingerprints are compared, pairs whose tables differ by more than the
 limit in any coordinate are discarded, and survivors are verified by their bits and then by the exact overlap
 of their shingles. A block gives back a spanning set of links, never its pairs.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from corvane.llm.graph import components
 from corvane.runtime import materialise, ship
 
-WIDTH, LEAST, ANCHORS, WORDS64, LIMIT, REFERENCES, BLOCK = 5, 0.8, 8, 4, 72, 16, 256
+WIDTH, LEAST, ANCHORS, WORDS64, LIMIT, REFERENCES, BLOCK = 5, 0.8, 8, 4, 72, 16, 512
 _ODD = np.array([xxhash.xxh64_intdigest(f"order {k}", 3) | 1 for k in range(max(ANCHORS, WORDS64))], np.uint64)
 _REFS = np.array([[xxhash.xxh64_intdigest(f"reference {k}.{j}", 7) for j in range(WORDS64)] for k in range(REFERENCES)], np.uint64)
 _BITS = np.array([[b >> k & 1 for k in range(8)] for b in range(256)], dtype=np.int64)
@@ -84,13 +85,15 @@ def _root(root: np.ndarray, k: int) -> int:
 def _work(pdf: pd.DataFrame) -> pd.DataFrame:
     ids, side, within = pdf["rep"].to_numpy(), pdf["own"].to_numpy(), pdf["a"].iloc[0] == pdf["b"].iloc[0]
     fp = np.stack([np.frombuffer(f, np.uint64) for f in pdf["fp"]])
-    grams = [np.unique(np.frombuffer(g, np.uint32)) for g in pdf["grams"]]
+    grams = [np.frombuffer(g, np.uint32) for g in pdf["grams"]]
+    home = pdf["home"].to_numpy()
     size = np.array([len(g) for g in grams])
     pivots = np.bitwise_count(fp[:, None, :] ^ _REFS[None]).sum(2).astype(np.int16)
     root = np.arange(len(ids))
     for i in range(len(ids)):
         j = np.arange(i + 1, len(ids))
         j = j[np.minimum(size[j], size[i]) >= LEAST * np.maximum(size[j], size[i])]
+        j = j[home[j] | home[i]]
         if not within:
             j = j[side[j] != side[i]]
         j = j[np.abs(pivots[j] - pivots[i]).max(1, initial=0) <= LIMIT]
@@ -114,15 +117,17 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = materialise(_sketches(docs), "sketches")
     classes = materialise(rows.groupBy("same").agg(F.min("doc_id").alias("rep")), "classes")
     reps = rows.join(classes.where("rep is not null").select("same", "rep"), "same").where("doc_id = rep and octet_length(fp) > 0").dropDuplicates(["rep"])
-    each = reps.select("rep", F.explode("anchors").alias("key"))
-    full = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    size_class = F.floor(F.log(F.octet_length("grams") / 4) / F.log(F.lit(1 / LEAST)) + 1e-9)
+    each = reps.select("rep", size_class.alias("size_class"), F.explode("anchors").alias("anchor")).withColumn("call", F.explode(F.array(F.lit(0), F.lit(1))))
+    each = each.select("rep", F.xxhash64("anchor", F.col("size_class") + F.col("call")).alias("key"), (F.col("call") == 0).alias("home"))
+    full = each.groupBy("key").agg(F.count("*").alias("n"), F.max("home").alias("any")).where("n > 1 and any").select("key", "n")
     met = materialise(each.join(full, "key"), "met")
     used = met.select("rep").distinct()
     payload = reps.select("rep", "fp", "grams").join(used, "rep", "left_semi")
     chunks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("rep"), chunks).cast("int")
     dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    dealt = dealt.select("key", "rep", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).join(payload, "rep")
+    dealt = dealt.select("key", "rep", "home", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).join(payload, "rep")
     links = materialise(dealt.groupBy("key", "a", "b").applyInPandas(_work, "u long, v long"), "text-links")
     comp = components(links)
     root = classes.join(comp.select(F.col("u").alias("rep"), "component"), "rep", "left").select(F.col("same").alias("_same"), F.coalesce("component", "rep").alias("component_id"))
