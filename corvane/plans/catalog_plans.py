@@ -89,7 +89,7 @@ def s06(spark, sf):
 
 @query("s07_linked_to_endpoint", "SELECT o_custkey AS id, count(*) AS links FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1")
 def s07(spark, sf):
-    ids = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list(F.struct(F.col("o_orderpriority").alias("endpoint"), F.col("o_orderkey").alias("stash_id"))).alias("ids"))
+    ids = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list(F.struct(F.col("o_orderpriority").alias("endpoint"), F.col("o_orderkey").alias("ext_id"))).alias("ids"))
     of = lambda x: x["endpoint"] == "1-URGENT"
     return ids.where(F.exists("ids", of)).select("id", F.size(F.filter("ids", of)).cast("long").alias("links"))
 
