@@ -24,7 +24,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixture.mixed(docs, mixture.labelled(table(spark, sf_dir, "labels")))
+    return mixture.mixed(docs, mixture.labelled_good(table(spark, sf_dir, "labels")), mixture.GOOD_TARGETS)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,12 +17,14 @@ from pyspark.sql import functions as F
 from corvane.llm.text import ascii_lower
 from corvane.runtime import materialise, table
 
-BUCKETS = 32_768
+BUCKETS = 131_072
 #: The classifier learns from about so many labelled documents at most, chosen by a hash of the id.
 SAMPLE = 20_000
-PRIOR_COUNT, LEAST_Z, LEAST_RATIO, STEPS, TOLERANCE = 50.0, 5.0, 2.0, 60, 1e-4
+PRIOR_DOCS, PRIOR_COUNT, LEAST_Z, LEAST_RATIO, STEPS, TOLERANCE = 50.0, 5000.0, 5.0, 4.0, 60, 1e-4
 #: Domains of the labelled table and the shares of tokens that they are to have.
 DOMAINS, TARGETS = ("clean", "toxic", "poor"), (0.96, 0.01, 0.03)
+#: The same for texts from which a quality classifier has taken the poor ones.
+GOOD_TARGETS = (0.99, 0.01)
 
 
 def domain_of() -> Column:
@@ -37,10 +39,12 @@ def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def classifier(docs: DataFrame, domains: DataFrame, k: int, sample: int = SAMPLE) -> tuple[list[float], dict[int, list[float]]]:
-    """Log priors and, for word buckets whose share of documents differs between domains, log ratios to the overall share.
+def classifier(docs: DataFrame, domains: DataFrame, k: int, sample: int = SAMPLE) -> tuple[list[float], list[float], dict[int, list[float]]]:
+    """Log priors, and log ratios to the overall share: of words that tell nothing, and of telling word buckets.
 
-    Documents are counted, not words, so that one that repeats itself weighs no more than others.
+    A bucket tells if its share of documents differs between domains. Words are counted once for a document, so that one
+    that repeats itself weighs no more than others; the many words that tell nothing are counted together, which weighs
+    the evidence of the others against a text's length.
     ``domains``: doc_id, domain (int from 0). Only buckets x domains counts reach the driver.
     """
     known = domains.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
@@ -50,21 +54,29 @@ def classifier(docs: DataFrame, domains: DataFrame, k: int, sample: int = SAMPLE
     for d, c in few.groupBy("domain").count().collect():
         priors[d] = c
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("domain", F.explode(F.array_distinct(F.transform(_words(F.col("text")), _bucket))).alias("b"))
-    counts = [[0.0] * BUCKETS for _ in range(k)]
+    counts = [[0] * BUCKETS for _ in range(k)]
     for d, b, c in rows.groupBy("domain", "b").count().collect():
-        counts[d][b] = float(c)
-    total, whole = priors, sum(priors)
-    ratios = {}
-    for b in range(BUCKETS):
-        both = sum(c[b] for c in counts)
-        if not both:
-            continue
-        p = both / whole
-        z = max(abs(c[b] - t * p) / math.sqrt(t * p * (1 - p) + 1) for c, t in zip(counts, total))
-        told = [math.log((c[b] + PRIOR_COUNT * p) / (t + PRIOR_COUNT) / p) for c, t in zip(counts, total)]
-        if z >= LEAST_Z and max(told) >= math.log(LEAST_RATIO):
-            ratios[b] = told
-    return [math.log((c + 1) / (sum(priors) + k)) for c in priors], ratios
+        counts[d][b] = c
+    whole, held = sum(priors), [sum(c) for c in counts]
+    told = {b: [c[b] for c in counts] for b in range(BUCKETS) if _tells([c[b] for c in counts], priors)}
+    rest = [h - sum(c[d] for c in told.values()) for d, h in enumerate(held)]
+
+    def ratios(found: list[int]) -> list[float]:
+        p = sum(found) / sum(held) if sum(found) else 1.0
+        return [math.log((c + PRIOR_COUNT * p) / (h + PRIOR_COUNT) / p) for c, h in zip(found, held)]
+
+    # a domain without labelled documents gets no posterior
+    return [math.log(c / whole) if c else -1000.0 for c in priors], ratios(rest), {b: ratios(c) for b, c in told.items()}
+
+
+def _tells(found: list[int], priors: list[int]) -> bool:
+    """Whether documents with a bucket (``found``, by domain) are far from its overall share in any domain, and frequent in one."""
+    if not any(found):
+        return False
+    p = sum(found) / sum(priors)
+    z = max(abs(c - t * p) / math.sqrt(t * p * (1 - p) + 1) for c, t in zip(found, priors))
+    most = max((c + PRIOR_DOCS * p) / (t + PRIOR_DOCS) / p for c, t in zip(found, priors))
+    return z >= LEAST_Z and most >= LEAST_RATIO
 
 
 def _literal(values: list, kind: str) -> Column:
@@ -75,23 +87,25 @@ def _adder(weights: Column):
     return lambda a, i: a + F.get(weights, i)
 
 
-def posteriors(docs: DataFrame, priors: list[float], ratios: dict[int, list[float]]) -> DataFrame:
+def posteriors(docs: DataFrame, priors: list[float], rest: list[float], ratios: dict[int, list[float]]) -> DataFrame:
     """``docs`` with _n (tokens) and _p (array of the domains' posteriors in hundredths, as doubles)."""
     place = [0] * BUCKETS
     for at, b in enumerate(sorted(ratios), 1):
         place[b] = at
     where = _literal(place, "int")
-    told = F.array_distinct(F.filter(F.transform("_w", lambda w: F.get(where, _bucket(w))), lambda i: i > 0))
-    out = docs.withColumn("_w", _words(F.col("text"))).withColumn("_n", F.size("_w").cast("long")).withColumn("_i", told)
+    buckets = F.array_distinct(F.transform("_w", _bucket))
+    told = F.filter(F.transform("_b", lambda b: F.get(where, b)), lambda i: i > 0)
+    out = docs.withColumn("_w", _words(F.col("text"))).withColumn("_n", F.size("_w").cast("long")).withColumn("_b", buckets).withColumn("_i", told)
+    others = (F.size("_b") - F.size("_i")).cast("double")
     sums = []
     for d, prior in enumerate(priors):
         w = _literal([0.0, *(round(ratios[b][d], 6) for b in sorted(ratios))], "double")
-        sums.append(F.aggregate("_i", F.lit(float(prior)), _adder(w)))
+        sums.append(F.aggregate("_i", F.lit(float(prior)) + others * F.lit(round(rest[d], 9)), _adder(w)))
     out = out.withColumn("_s", F.array(*sums))
     soft = F.transform("_s", lambda s: F.exp(F.greatest(s - F.array_max("_s"), F.lit(-50.0))))
     out = out.withColumn("_e", soft).withColumn("_t", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
     rounded = F.transform("_e", lambda e: F.round(e / F.col("_t"), 2))
-    return out.withColumn("_p", rounded).drop("_w", "_i", "_s", "_e", "_t")
+    return out.withColumn("_p", rounded).drop("_w", "_b", "_i", "_s", "_e", "_t")
 
 
 def rate_of(p: Column, steps: list[list[float]], most: float) -> Column:
@@ -142,8 +156,7 @@ def mix(docs: DataFrame, domains: DataFrame, targets: tuple = TARGETS, most: flo
     Null and empty texts have no tokens and the prior's posterior; null ids hash like others, and
     repeated rows share their rate and copies.
     """
-    priors, ratios = classifier(docs, domains, len(targets))
-    told = posteriors(docs.select("doc_id", "text"), priors, ratios)
+    told = posteriors(docs.select("doc_id", "text"), *classifier(docs, domains, len(targets)))
     narrow = materialise(told.select("doc_id", F.xxhash64("text").alias("row"), F.col("_n").alias("n_tokens"), F.col("_p").alias("posterior")), "posteriors")
     cells = materialise(narrow.groupBy(F.col("posterior").alias("_p")).agg(F.sum("n_tokens").alias("n")), "cells")
     rows = narrow.withColumn("rate", rate_of(F.col("posterior"), fit(cells, list(targets), most), most))
@@ -166,6 +179,11 @@ def labelled(labels: DataFrame) -> DataFrame:
     return labels.where("quality is not null").select("doc_id", domain_of().alias("domain"))
 
 
+def labelled_good(labels: DataFrame) -> DataFrame:
+    """Domains of texts that passed a quality classifier: 0 clean, 1 toxic."""
+    return labels.where("toxic is not null").select("doc_id", F.when(F.col("toxic") == 1, 1).otherwise(0).alias("domain"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"), labelled(table(spark, sf_dir, "labels")), most=4.0)
     return out.select(
