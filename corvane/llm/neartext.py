@@ -11,7 +11,6 @@ of their shingles. A block gives back a spanning set of links, never its pairs.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -62,7 +61,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 h = shingles(t)
                 whole = xxhash.xxh3_128_digest(h.tobytes())
                 fp, marks = sketch(h) if len(h) else (b"", [])
-                rows.append((whole, fp, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() if len(h) else b"", [m - (1 << 64) if m >> 63 else m for m in marks]))
+                rows.append((whole, fp, np.unique(h.astype(np.uint32)).tobytes() if len(h) else b"", [m - (1 << 64) if m >> 63 else m for m in marks]))
             cols = list(zip(*rows)) or [()] * 4
             kinds = (pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "same", "fp", "grams", "anchors"])
@@ -71,8 +70,11 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b))
-    return both / (len(a) + len(b) - both) if both else 0.0
+    """Jaccard similarity of two sorted arrays of distinct values."""
+    c = np.concatenate((a, b))
+    c.sort(kind="stable")  # two runs, which are merged
+    both = int(np.count_nonzero(c[1:] == c[:-1]))
+    return both / (len(c) - both) if both else 0.0
 
 
 def _root(root: np.ndarray, k: int) -> int:
@@ -82,29 +84,48 @@ def _root(root: np.ndarray, k: int) -> int:
     return k
 
 
-def _work(pdf: pd.DataFrame) -> pd.DataFrame:
-    ids, side, within = pdf["rep"].to_numpy(), pdf["own"].to_numpy(), pdf["a"].iloc[0] == pdf["b"].iloc[0]
-    fp = np.stack([np.frombuffer(f, np.uint64) for f in pdf["fp"]])
-    grams = [np.frombuffer(g, np.uint32) for g in pdf["grams"]]
-    home = pdf["home"].to_numpy()
-    size = np.array([len(g) for g in grams])
+def _linked(rows: list[tuple], within: bool):
+    """Links (u, v) that span what is linked among ``rows`` (rep, own, home, fp, grams) of one pair of blocks."""
+    ids, side, home, prints, grams = zip(*rows)
+    n, side, home = len(ids), np.array(side), np.array(home)
+    fp = np.frombuffer(b"".join(prints), np.uint64).reshape(n, WORDS64)
+    sets = [np.frombuffer(g, np.uint32) for g in grams]
+    size = np.array([len(g) for g in sets])
     pivots = np.bitwise_count(fp[:, None, :] ^ _REFS[None]).sum(2).astype(np.int16)
-    root = np.arange(len(ids))
-    for i in range(len(ids)):
-        j = np.arange(i + 1, len(ids))
-        j = j[np.minimum(size[j], size[i]) >= LEAST * np.maximum(size[j], size[i])]
-        j = j[home[j] | home[i]]
+    root = np.arange(n)
+    for i in range(n - 1):
+        j = np.arange(i + 1, n)
+        j = j[(np.minimum(size[j], size[i]) >= LEAST * np.maximum(size[j], size[i])) & (home[j] | home[i])]
         if not within:
             j = j[side[j] != side[i]]
         j = j[np.abs(pivots[j] - pivots[i]).max(1, initial=0) <= LIMIT]
         j = j[np.bitwise_count(fp[j] ^ fp[i]).sum(1) <= LIMIT]
         for k in j.tolist():
             x, y = _root(root, i), _root(root, k)
-            if x != y and overlap(grams[i], grams[k]) >= LEAST:
+            if x != y and overlap(sets[i], sets[k]) >= LEAST:
                 root[max(x, y)] = min(x, y)
-    to = np.array([_root(root, k) for k in range(len(ids))])
-    told = to != np.arange(len(ids))
-    return pd.DataFrame({"u": ids[told], "v": ids[to[told]]})
+    for k in range(n):
+        if root[k] != k:
+            yield ids[k], ids[_root(root, k)]
+
+
+def _work(batches):
+    """Links of the groups of rows with equal (key, a, b), which come one after another; no group has over 2 x BLOCK rows or so."""
+    now, held = None, []
+
+    def told():
+        out = list(_linked(held, now[1] == now[2])) if len(held) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    for batch in batches:
+        for key, a, b, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (key, a, b) != now:
+                if len(held) > 1:
+                    yield told()
+                now, held = (key, a, b), []
+            held.append(row)
+    if len(held) > 1:
+        yield told()
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -128,7 +149,8 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     own = F.pmod(F.xxhash64("rep"), chunks).cast("int")
     dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     dealt = dealt.select("key", "rep", "home", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).join(payload, "rep")
-    links = materialise(dealt.groupBy("key", "a", "b").applyInPandas(_work, "u long, v long"), "text-links")
+    blocks = dealt.select("key", "a", "b", "rep", "own", "home", "fp", "grams").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    links = materialise(blocks.mapInArrow(_work, "u long, v long"), "text-links")
     comp = components(links)
     root = classes.join(comp.select(F.col("u").alias("rep"), "component"), "rep", "left").select(F.col("same").alias("_same"), F.coalesce("component", "rep").alias("component_id"))
     return rows.select("doc_id", "same").join(root, F.col("same") == F.col("_same")).select("doc_id", "component_id")
