@@ -2,8 +2,8 @@
 
 Candidates of all kinds are found in whole texts; a value's digest is then counted over the whole corpus by
 distinct repositories and owners. What many owners hold is a widely copied example; what
-one owner alone holds, and looks random, is reported as live. Candidates of the broad kind (long mixed tokens) become spans only if
-they are live.
+one owner alone holds, and looks random, is reported as live, in however many of that owner's repositories it stands.
+Candidates of the broad kind (long mixed tokens) become spans only if they are live.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ _HINT = re.compile(r"[:=]")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
-#: A live value is held by one owner in so many repositories at most, and has so many bits a character.
-MOST_REPOSITORIES, LEAST_ENTROPY = 3, 3.5
+#: A live value has so many bits a character, beside being held by one owner.
+LEAST_ENTROPY = 3.5
 _CANDIDATES = "array<struct<kind:int,start:int,end:int,digest:binary,random:boolean>>"
 
 
@@ -83,7 +83,7 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return repos.join(owners, "digest")
 
 
-def find(docs: DataFrame, repository: Column, owner: Column, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
+def find(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
     """For each row: doc_id and its spans, each with kind, start, end, digest, repositories, owners, live.
 
     Null and empty texts have none. Null repositories or owners count as one more of each; null ids are kept;
@@ -92,7 +92,7 @@ def find(docs: DataFrame, repository: Column, owner: Column, most_repositories:
     rows = materialise(scan(docs, repository, owner), "candidates")
     stats = materialise(ownership(rows), "ownership")
     each = rows.select("doc_id", F.explode("found").alias("c")).select("doc_id", "c.*").distinct()
-    known = each.join(stats, "digest").withColumn("live", F.col("random") & (F.col("owners") == 1) & (F.col("repositories") <= most_repositories))
+    known = each.join(stats, "digest").withColumn("live", F.col("random") & (F.col("owners") == 1))
     spans = known.where((F.col("kind") < BASE) | F.col("live")).groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end", "digest", "repositories", "owners", "live"))).alias("spans")
     )

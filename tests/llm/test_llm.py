@@ -188,6 +188,12 @@ def test_secrets(spark, odd):
     assert hidden[102] == "*" * 17 and hidden[4] == "one"
 
 
+def test_copies_within_one_owner_hide_no_secret(spark):
+    docs = docs_of(spark, [(3 * k, f"key Ab3dEf6hIj9kLmNoPq2sTuVw end {k // 3}") for k in range(6)])
+    for r in secretscan.find(docs, F.col("doc_id"), F.col("source")).collect():
+        assert [(s.kind, s.repositories, s.owners, s.live) for s in r.spans] == [(3, 6, 1, True)]
+
+
 def test_warc_round_trip(spark):
     same = "<p>" + "x" * 200
     rows = [(3, "http://a/", same), (1, "http://b/\r\nX: y", same), (2, None, None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", "é\r\n\r\nWARC/1.1\r\n\r\n"), (7, "u", "é\r\n\r\nWARC/1.1\r\n\r\n")]
