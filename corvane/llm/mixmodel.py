@@ -8,9 +8,12 @@ chosen by a gate of how much the longer contexts have seen, learned online with
 own count left out; an adaptive probability map over the tree's nodes refines the result. A document's
 class, told by a small classifier, is paid for with its prior, so the sum stays a probability.
 
-All contexts lie within a token, so a token's probability in a class is computed once however often it occurs.
-The token table grows with the corpus and stays distributed; the model's tables are of bounded size.
-Frequent tokens (a bounded number, by arithmetic) are sent to all tasks, the rest is joined.
+These contexts lie within a token, so its probability in a class is computed once however often it occurs. Along the running
+text it is mixed with the token's frequency after the token before it, in shares that depend on how often
+that one was seen and how varied its followers are, learned with each occurrence's own count left out.
+
+The tables of tokens and of pairs grow with the corpus and stay distributed; the tables of contexts within words are of bounded size.
+Frequent pairs (a bounded number, by arithmetic) are sent to all tasks, the rest is joined.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.text import crc_fold
@@ -45,6 +48,8 @@ BLOCK_BITS, GATES, PRIOR = 15, 16, 0.35
 #: Tokens of at least N / FREQUENT occurrences are sent to all tasks: FREQUENT of them at most.
 FREQUENT = 100_000
 FLUSH, CHUNK, TOKENS_A_TASK, DOCS_AT_ONCE = 200_000, 1_000, 1_000_000, 500
+#: Gates of the context of the word before, and running tokens whose pairs a task counts before it sends them.
+PAIR_GATES, PAIRS_AT_ONCE = 30, 2_000_000
 APM_BINS, APM_RANGE = 33, 8.0
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
@@ -418,11 +423,116 @@ def key_of(cls: int, token: bytes) -> int:
     return xxhash.xxh64_intdigest(token, 42 + cls)
 
 
+class Keys(dict):
+    """Keys of a class's tokens, as they come."""
+
+    def __init__(self, cls: int):
+        super().__init__()
+        self.cls = cls
+
+    def __missing__(self, token: bytes) -> int:
+        k = self[token] = key_of(self.cls, token)
+        return k
+
+
+def pair_key(ahead: np.ndarray, own: np.ndarray) -> np.ndarray:
+    return (ahead << np.uint64(23) | ahead >> np.uint64(41)) ^ own
+
+
+def along(texts: list[str | None], classes: Classes, known: dict[int, Keys]):
+    """Of some texts their tokens in order: class and number of tokens and of bytes by text; key of the token before (the end before the first) and own key by token."""
+    told, sizes, n_bytes, keys = [], [], [], []
+    for text in texts:
+        words = tokens_of(text)
+        cls = classes(Counter(words)) if classes.words else 0
+        at = known.setdefault(cls, Keys(cls))
+        told.append(cls)
+        sizes.append(len(words))
+        n_bytes.append(sum(map(len, words)) + len(words) - 1)
+        keys.append(np.array([at[END], *(at[t] for t in words)], np.uint64))
+        if len(at) > FLUSH:
+            at.clear()
+    ahead, own = (np.concatenate([k[lo:hi] for k in keys]) if keys else np.zeros(0, np.uint64) for lo, hi in ((None, -1), (1, None)))
+    return np.array(told, np.int64), np.array(sizes, np.int64), n_bytes, ahead, own
+
+
+def _slices(batches):
+    for b in batches:
+        for lo in range(0, b.num_rows, DOCS_AT_ONCE):
+            yield b.slice(lo, DOCS_AT_ONCE)
+
+
+def pair_counts(docs: DataFrame, classes: Classes) -> DataFrame:
+    """(ahead, own, c, n, d): each pair of neighbours in a class's documents, its count in the training documents, and the first one's count and number of different followers there."""
+
+    def run(batches):
+        known: dict[int, Keys] = {}
+        held, size = [], 0
+
+        def out():
+            ahead, own, c = (np.concatenate(x) for x in zip(*held))
+            pairs = pair_key(ahead, own)
+            order = np.argsort(pairs)
+            first = np.flatnonzero(np.diff(pairs[order], prepend=~pairs[order[:1]]))
+            c, at = np.add.reduceat(c[order], first), order[first]
+            for lo in range(0, len(at), FLUSH):
+                part = at[lo : lo + FLUSH]
+                yield pa.RecordBatch.from_arrays([pa.array(ahead[part].view(np.int64)), pa.array(own[part].view(np.int64)), pa.array(c[lo : lo + FLUSH])], names=["ahead", "own", "c"])
+            held.clear()
+
+        for b in _slices(batches):
+            _, sizes, _, ahead, own = along(b.column(1).to_pylist(), classes, known)
+            held.append((ahead, own, np.repeat((b.column(0).to_numpy() > 0).astype(np.int64), sizes)))
+            size += len(own)
+            if size > PAIRS_AT_ONCE:
+                yield from out()
+                size = 0
+        if size:
+            yield from out()
+
+    parts = docs.select(crc_fold(F.col("doc_id"), FOLDS).alias("fold"), F.col("text")).mapInArrow(run, "ahead long, own long, c long")
+    w = Window.partitionBy("ahead")
+    pairs = parts.repartition("ahead").groupBy("ahead", "own").agg(F.sum("c").alias("c"))
+    return pairs.withColumn("n", F.sum("c").over(w)).withColumn("d", F.sum((F.col("c") > 0).cast("long")).over(w))
+
+
+def gate_of(n: Column, d: Column) -> Column:
+    """Of a context seen ``n`` times with ``d`` different followers: how often, and how varied it is."""
+    above = lambda x, limits: sum(((x > k).cast("int") for k in limits), F.lit(0))
+    return above(n, (1, 3, 10, 40, 300)) * 5 + above(d / n, (0.1, 0.3, 0.6, 0.95))
+
+
+def learn_shares(pairs: DataFrame) -> np.ndarray:
+    """By gate the share of the pair's own frequency beside the model of words: the likeliest for the training text with each occurrence's own count left out."""
+    c, n, d = F.col("c") - 1, F.col("n") - 1, F.col("d") - (F.col("c") == 1).cast("long")
+    better = F.when(c > 0, F.least(F.round(10 * (F.log10(c / n) - F.col("lm"))), F.lit(2500.0)).cast("int"))
+    cells = pairs.where("c > 0 and n > 1").groupBy(gate_of(n, d).alias("g"), better.alias("better")).agg(F.sum("c").alias("m")).collect()  # gates and bins only
+    shares = np.full(PAIR_GATES, 0.5)
+    for g in range(PAIR_GATES):
+        mine = [(0.0 if r["better"] is None else 10.0 ** (r["better"] / 10), r["m"]) for r in cells if r["g"] == g]
+        ratio, mass = np.array([[1.0, 1.0], *mine]).T
+        for _ in range(100):
+            shares[g] = (mass * shares[g] * ratio / (shares[g] * ratio + 1 - shares[g])).sum() / mass.sum()
+    return np.clip(shares, 1e-6, 1 - 1e-6)
+
+
+def pair_log10(shares: np.ndarray, left_out: bool) -> Column:
+    """log10 probability of a pair's second token after the first, given (c, n, d, lm); ``left_out`` takes the occurrence itself out of the counts."""
+    c, n, d = F.col("c"), F.col("n"), F.col("d")
+    if left_out:
+        c, n, d = c - 1, n - 1, d - (F.col("c") == 1).cast("long")
+    share = F.element_at(F.array(*(F.lit(float(x)) for x in shares)), gate_of(n, d) + 1)
+    words, pair = F.log10(1 - share) + F.col("lm"), F.log10(share * c / n)
+    both = F.greatest(words, pair) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(words - pair)))
+    return F.when(n <= 0, F.col("lm")).when(c <= 0, words).otherwise(both)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes) for each row of ``docs``.
 
     Learns from rows outside fold 0 (crc32 of the id as text modulo 10), the classes from ``lang`` where there is one. score is the model's log10 probability of the
-    tokens with their end; n_bytes are the bytes it spells, so bits per byte are -score / log10(2) / n_bytes.
+    tokens in their order with their end, for a training row with each pair's own occurrence left out of the pair counts; n_bytes are the bytes it spells,
+    so bits per byte are -score / log10(2) / n_bytes.
     Null and empty texts have the end alone; a null id is in fold 0; repeated rows are scored each. Without a training row
     the base gives each token what its formula gives and the model is uniform.
     """
@@ -442,64 +552,47 @@ def score(docs: DataFrame) -> DataFrame:
     def judge(batches):
         m = Model(code, held.get(), weights, apm)
         for b in batches:
-            some, cls, c = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).to_numpy()
+            some, cls = b.column(0).to_pylist(), b.column(1).to_numpy()
             keys = np.array([key_of(k, t) for k, t in zip(cls.tolist(), some)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(keys), b.column(2), pa.array(np.log10((c + SMOOTH) / whole)), pa.array(m.log10(some, cls))], names=["token", "cls", "key", "c", "base", "lm"]
-            )
-
-    judged = materialise(tokens.select("token", "cls", "all").mapInArrow(judge, "token binary, cls int, key long, c long, base double, lm double"), "judged")
-    often = judged.where(F.col("c") * FREQUENT >= max(n, 1)).select("cls", "token", "c", "base", "lm").collect()  # MOST_CLASSES * FREQUENT rows at most
-    shared = spark.sparkContext.broadcast(([(r[0], bytes(r[1])) for r in often], np.array([tuple(r[2:]) for r in often], np.float64).reshape(-1, 3)))
-    mark = uuid.uuid4().hex
+            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(2), pa.array(m.log10(some, cls))], names=["own", "all", "lm"])
+
+    judged = tokens.select("token", "cls", "all").mapInArrow(judge, "own long, all long, lm double")
+    turned = F.shiftleft("ahead", 23).bitwiseOR(F.shiftrightunsigned("ahead", 41))
+    pairs = materialise(pair_counts(docs, classes).join(judged, "own").select(turned.bitwiseXOR(F.col("own")).alias("key"), "c", "n", "d", "all", "lm"), "pairs")
+    shares = learn_shares(pairs)
+    valued = [F.col("key"), (F.col("all") > 0).cast("int").alias("k"), F.log10((F.col("all") + SMOOTH) / whole).alias("b")]
+    valued += [pair_log10(shares, False).alias("fresh"), F.when(F.col("c") > 0, pair_log10(shares, True)).alias("own")]
+    common = F.col("c") * FREQUENT >= max(n, 1)
+    often = np.array(sorted(map(tuple, pairs.where(common).select(*valued).collect())), [("key", "i8"), ("k", "f8"), ("b", "f8"), ("fresh", "f8"), ("own", "f8")])  # FREQUENT rows at most
+    shared = spark.sparkContext.broadcast(often)
 
     def cut(batches):
-        if _frequent.get("mark") != mark:
-            names, values = shared.value
-            at = {}
-            for k, (c, t) in enumerate(names):
-                at.setdefault(c, {})[t] = k
-            _frequent.update(mark=mark, at=at, values=values)
-        values = _frequent["values"]
+        often, known = shared.value, {}
         row = TaskContext.get().partitionId() << 33
-        for b in (whole_batch.slice(lo, DOCS_AT_ONCE) for whole_batch in batches for lo in range(0, whole_batch.num_rows, DOCS_AT_ONCE)):
-            heads, tail_row, tail_key, tail_n = [], [], [], []
-            for i, fold, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                counts = Counter(tokens_of(text))
-                cls = classes(counts)
-                at = _frequent["at"].get(cls, {})
-                places, times = [], []
-                for t, k in counts.items():
-                    p = at.get(t)
-                    if p is None:
-                        tail_row.append(row)
-                        tail_key.append(key_of(cls, t))
-                        tail_n.append(k)
-                    else:
-                        places.append(p)
-                        times.append(k)
-                got = values[places] if places else np.zeros((0, 3))
-                times = np.array(times, np.float64)
-                heads.append((row, i, fold == 0, counts.total(), int(times[got[:, 0] > 0].sum()), float(times @ got[:, 1]), float(times @ got[:, 2]) + float(classes.log10_priors[cls]), sum((len(t) + (t != END)) * k for t, k in counts.items())))
-                row += 1
-            cols = list(zip(*heads)) or [()] * 8
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-            names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm", "n_bytes"]
-            k, m = len(heads), len(tail_row)
-            arrays = [pa.concat_arrays([pa.array(c, t), pa.nulls(m, t)]) for c, t in zip(cols, kinds)]
-            arrays[0] = pa.concat_arrays([pa.array(cols[0], pa.int64()), pa.array(tail_row, pa.int64())])
-            keys = pa.array(np.array(tail_key, np.uint64).view(np.int64))
-            arrays += [pa.concat_arrays([pa.nulls(k, pa.int64()), keys]), pa.concat_arrays([pa.nulls(k, pa.int32()), pa.array(tail_n, pa.int32())])]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "key", "times"])
-
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double, n_bytes long, key long, times int"
+        for b in _slices(batches):
+            told, sizes, n_bytes, ahead, own = along(b.column(2).to_pylist(), classes, known)
+            new = b.column(1).to_numpy() == 0
+            keys, doc = pair_key(ahead, own).view(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+            at = np.minimum(np.searchsorted(often["key"], keys), max(len(often) - 1, 0))
+            hit = often["key"][at] == keys if len(often) else np.zeros(len(keys), bool)
+            got, of = often[at[hit]] if len(often) else often, doc[hit]
+            total = lambda x: np.bincount(of, x, minlength=len(sizes))
+            lm = total(np.where(new[of], got["fresh"], got["own"])) + classes.log10_priors[told]
+            rows = (row + np.arange(len(sizes))) * 2 + new  # the last bit tells the held-out rows
+            row += len(sizes)
+            k, m = len(sizes), int((~hit).sum())
+            heads = [pa.array(rows), b.column(0), pa.array(new), pa.array(sizes), pa.array(total(got["k"]).astype(np.int64)), pa.array(total(got["b"])), pa.array(lm), pa.array(n_bytes, pa.int64())]
+            arrays = [pa.concat_arrays([a, pa.nulls(m, a.type)]) for a in heads]
+            arrays[0] = pa.concat_arrays([heads[0], pa.array(rows[doc[~hit]])])
+            arrays.append(pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(keys[~hit])]))
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm", "n_bytes", "key"])
+
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double, n_bytes long, key long"
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), crc_fold(F.col("doc_id"), FOLDS).alias("fold"), F.col("text"))
     rows = materialise(picked.mapInArrow(cut, schema), "cut")
-    rare = judged.select(F.col("key"), F.col("c"), F.col("base").alias("b"), F.col("lm").alias("l"))
-    tail = rows.where("key is not null").select("row", "key", "times").join(rare, "key")
-    tail = tail.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k2"), F.sum(F.col("times") * F.col("b")).alias("b2"), F.sum(F.col("times") * F.col("l")).alias("l2")
-    )
+    tail = rows.where("key is not null").select("row", "key").join(pairs.where(~common).select(*valued), "key")
+    mine = F.when(F.col("row").bitwiseAND(F.lit(1)) == 1, F.col("fresh")).otherwise(F.col("own"))
+    tail = tail.groupBy("row").agg(F.sum("k").alias("k2"), F.sum("b").alias("b2"), F.sum(mine).alias("l2"))
     heads = rows.where("key is null").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm", "n_bytes")
     zero = F.lit(0)
     return heads.join(tail, "row", "left").select(

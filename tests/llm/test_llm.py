@@ -256,6 +256,23 @@ def test_context_mixing(spark, odd):
     assert mixmodel.score(odd).count() == odd.count() and mixmodel.score(odd.limit(0)).count() == 0
 
 
+def test_context_mixing_reads_the_order_of_words(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    new = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 10 == 0]
+    texts = [(i, " ".join(words[i % 8 :] + words[: i % 8])) for i in range(300)] + [(new[0], " ".join(words)), (new[1], " ".join(words[::-1])), (new[2], " ".join(words * 2))]
+    got = {r.doc_id: r for r in mixmodel.score(docs_of(spark, texts)).collect()}
+    assert abs(got[new[0]].base_score - got[new[1]].base_score) < 1e-9 and got[new[0]].score > got[new[1]].score + 3
+    assert got[new[2]].n_known == got[new[2]].n_tokens == 17 and got[new[2]].n_bytes == 2 * sum(len(w) + 1 for w in words) + 1
+
+
+def test_pair_probabilities_sum_to_one(spark):
+    rows = [(3, 4, 2, np.log10(0.2)), (1, 4, 2, np.log10(0.3)), (0, 4, 2, np.log10(0.5))]
+    df = spark.createDataFrame([(c, n, d, float(lm)) for c, n, d, lm in rows], "c long, n long, d long, lm double")
+    shares = np.linspace(0.1, 0.9, mixmodel.PAIR_GATES)
+    told = [r.p for r in df.select(mixmodel.pair_log10(shares, False).alias("p")).collect()]
+    assert abs(sum(10**p for p in told) - 1) < 1e-9 and told[0] > np.log10(0.2)
+
+
 def test_model_probabilities_sum_to_one():
     code = mixmodel.Code(np.arange(256.0))
     rng = np.random.default_rng(0)
