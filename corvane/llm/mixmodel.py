@@ -357,7 +357,7 @@ class SentTables:
         return _tables[self.mark]
 
 
-def train(tokens: DataFrame, distinct: int, frequent: list[tuple[bytes, int]]) -> tuple[Code, SentTables, np.ndarray, np.ndarray]:
+def train(tokens: DataFrame, distinct: int) -> tuple[Code, SentTables, np.ndarray, np.ndarray]:
     """The model of the token table's training counts: code, tables (sent), mixing weights and probability map."""
     spark = tokens.sparkSession
     bits = table_bits(distinct)
@@ -365,10 +365,14 @@ def train(tokens: DataFrame, distinct: int, frequent: list[tuple[bytes, int]]) -
     known = tokens.where("c > 0").select("token", "cls", "c").coalesce(tasks)
     parts = lambda run: _summed(known.mapInArrow(run, "block int, m binary"))
 
-    hist = np.zeros(256)
-    for t, c in frequent:  # the tree only has to be fair; frequent tokens tell it well enough
-        hist += np.bincount(np.frombuffer(t + b" ", np.uint8), minlength=256) * c
-    code = Code(hist)
+    def spelled_bytes(batches):
+        seen = np.zeros(256)
+        for some, _, counts in _lists(batches):
+            lens = np.fromiter((len(t) + 1 for t in some), np.int64, len(some))
+            seen += np.bincount(np.frombuffer(b"".join(t + b" " for t in some), np.uint8), np.repeat(counts, lens), minlength=256)
+        yield _block(0, seen)
+
+    code = Code(parts(spelled_bytes)[0].astype(np.float64))
     edges = np.cumsum([0, *(1 << (b + 1) for b in bits)])
     step = 1 << LEAST_BITS if min(bits) < BLOCK_BITS else 1 << BLOCK_BITS
 
@@ -391,27 +395,36 @@ def train(tokens: DataFrame, distinct: int, frequent: list[tuple[bytes, int]]) -
     start = start_weights()
 
     def online(batches):
-        """Predict, note the outcome in the probability map, then learn: each decision is seen once."""
+        """Predict, then learn: each decision is seen once."""
         tables = held.get()
         w, mass_all = start.astype(np.float64), np.zeros(GATES)
-        ones, all_ = np.zeros(256 * APM_BINS), np.zeros(256 * APM_BINS)
         for some, classes, counts in _lists(batches):
             sp = Spelled(code, some, bits)
             x, gate = inputs(tables, sp.slots(classes), sp.bit, True)
             mass = counts[sp.owner].astype(np.float64)
-            s = learn(w, x, gate, sp.bit, mass, 0.3)
-            cell = sp.node * APM_BINS + np.rint((np.clip(s, -APM_RANGE, APM_RANGE) + APM_RANGE) * ((APM_BINS - 1) / (2 * APM_RANGE))).astype(np.int64)
-            all_ += np.bincount(cell, mass, minlength=len(all_))
-            ones += np.bincount(cell, mass * sp.bit, minlength=len(ones))
+            learn(w, x, gate, sp.bit, mass, 0.3)
             mass_all += np.bincount(gate, mass, minlength=GATES)
         yield _block(0, np.concatenate([(w * mass_all[:, None]).ravel(), mass_all]))
-        yield _block(1, np.concatenate([ones, all_]))
 
-    found = parts(online)
-    total, mass = found[0], found[0][GATES * (ORDERS + 1) :]
+    total = parts(online)[0]
+    mass = total[GATES * (ORDERS + 1) :]
     mean = total[: GATES * (ORDERS + 1)].reshape(GATES, -1) / np.maximum(mass, 1e-9)[:, None]
     weights = np.where((mass > 0)[:, None], mean, start).astype(np.float32)
-    both = found[1].astype(np.float64).reshape(2, 256, APM_BINS)
+
+    def outcomes(batches):
+        """The probability map's cells under the final weights."""
+        m = Model(code, held.get(), weights)
+        ones, all_ = np.zeros(256 * APM_BINS), np.zeros(256 * APM_BINS)
+        for some, classes, counts in _lists(batches):
+            sp = Spelled(code, some, bits)
+            x, gate = inputs(m.tables, sp.slots(classes), sp.bit, True)
+            s, mass = m.mixed(x, gate), counts[sp.owner].astype(np.float64)
+            cell = sp.node * APM_BINS + np.rint((np.clip(s, -APM_RANGE, APM_RANGE) + APM_RANGE) * ((APM_BINS - 1) / (2 * APM_RANGE))).astype(np.int64)
+            all_ += np.bincount(cell, mass, minlength=len(all_))
+            ones += np.bincount(cell, mass * sp.bit, minlength=len(ones))
+        yield _block(0, np.concatenate([ones, all_]))
+
+    both = parts(outcomes)[0].astype(np.float64).reshape(2, 256, APM_BINS)
     apm = np.clip((both[0] + 20 * apm_start()) / (both[1] + 20), 1e-6, 1 - 1e-6)
     return code, held, weights, apm
 
@@ -544,8 +557,7 @@ def score(docs: DataFrame) -> DataFrame:
     v = round(v)
     whole = n + SMOOTH * (v + 1)
     if n:
-        top = tokens.where(F.col("c") * FREQUENT >= n).select("token", "c").collect()  # MOST_CLASSES * FREQUENT rows at most
-        code, held, weights, apm = train(tokens, rows_, [(bytes(t), c) for t, c in top])
+        code, held, weights, apm = train(tokens, rows_)
     else:
         code, held, weights, apm = Code(np.zeros(256)), SentTables(spark, [np.zeros(1 << b, np.uint32) for b in table_bits(0)]), start_weights(), apm_start()
 

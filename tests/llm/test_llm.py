@@ -265,6 +265,15 @@ def test_context_mixing_reads_the_order_of_words(spark):
     assert got[new[2]].n_known == got[new[2]].n_tokens == 17 and got[new[2]].n_bytes == 2 * sum(len(w) + 1 for w in words) + 1
 
 
+def test_the_tree_counts_the_bytes_of_rare_tokens(spark, monkeypatch):
+    monkeypatch.setattr(mixmodel, "FREQUENT", 4)
+    rows = [(b"aa", 0, 60), (b"\xe4\xb8\xad", 0, 9), (b"zz", 0, 0), (mixmodel.END, 0, 10)]
+    tokens = spark.createDataFrame([(bytearray(t), k, c) for t, k, c in rows], "token binary, cls int, c long")
+    code, held, weights, apm = mixmodel.train(tokens, len(rows))
+    assert code.length[0xE4] < code.length[ord("q")] and code.length[ord("a")] < code.length[0xE4]
+    assert np.isfinite(weights).all() and apm.shape == (256, mixmodel.APM_BINS)
+
+
 def test_pair_probabilities_sum_to_one(spark):
     rows = [(3, 4, 2, np.log10(0.2)), (1, 4, 2, np.log10(0.3)), (0, 4, 2, np.log10(0.5))]
     df = spark.createDataFrame([(c, n, d, float(lm)) for c, n, d, lm in rows], "c long, n long, d long, lm double")
