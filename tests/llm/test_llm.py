@@ -231,6 +231,24 @@ def test_lattice_recall_and_edges(spark):
         assert all(got[i].n_links == 0 and got[i].component_id == i for i in (2000, 2001, 2002, 2003, 2006))
 
 
+def test_lattice_recall_of_pairs_near_the_limit(spark):
+    rng = np.random.default_rng(4)
+    x, g = rng.standard_normal((2, 4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    g -= (g * x).sum(1)[:, None] * x
+    y = 0.951 * x + np.sqrt(1 - 0.951**2) * g / np.linalg.norm(g, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<double>")
+    links = [r.n_links for r in lattice.near_duplicates(df).collect()]  # unrelated vectors are far below 0.95
+    assert max(links) == 1 and sum(links) > 0.99 * len(links)
+    real = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = real.toPandas()
+    u = np.array(rows.embedding.tolist())
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    deg = dict(zip(rows.vec_id, (u @ u.T >= 0.95).sum(1) - 1))
+    got = {r.vec_id: r.n_links for r in lattice.near_duplicates(real).collect()}
+    assert all(got[i] <= k for i, k in deg.items()) and sum(got.values()) >= 0.99 * sum(deg.values())
+
+
 def test_decoding_finds_the_nearest_lattice_point():
     rng = np.random.default_rng(5)
     z = rng.standard_normal((200, 8)) * 2
