@@ -15,11 +15,11 @@ from __future__ import annotations
 from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm import hot
 from corvane.llm.graph import components
 from corvane.runtime import materialise, ship, table
 
@@ -97,8 +97,8 @@ def cells(unit: np.ndarray) -> np.ndarray:
     return out
 
 
-def _classes(vectors: DataFrame) -> DataFrame:
-    """(vec_id, same) for each row; same is a digest of the vector, null if it can't link."""
+def _digests(vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding, same) for each row; same is a digest of the vector, null if it can't link."""
     import hashlib
 
     def run(batches):
@@ -108,9 +108,9 @@ def _classes(vectors: DataFrame) -> DataFrame:
                 a = None if i is None or not v or None in v else np.asarray(v, np.float64)
                 ok = a is not None and np.isfinite(a).all() and a.any()
                 out.append(hashlib.blake2b((a + 0.0).tobytes(), digest_size=16).digest() if ok else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["vec_id", "same"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=["vec_id", "embedding", "same"])
 
-    return vectors.mapInArrow(run, "vec_id long, same binary")
+    return vectors.mapInArrow(run, "vec_id long, embedding array<double>, same binary")
 
 
 def _filed(reps: DataFrame) -> DataFrame:
@@ -147,36 +147,65 @@ def first_meeting(ids: np.ndarray, filed: np.ndarray, i: np.ndarray, j: np.ndarr
     return out
 
 
+def _linked(ids, copies, home, side, within: bool, units, filed, key: int, least: float):
+    """(rep, links, root) of the rows of one pair of blocks of a cell that link with another."""
+    sizes = np.array([len(u) for u in units])
+    links, root = np.zeros(len(ids), np.int64), ids.copy()
+    for dim in np.unique(sizes):
+        at = np.flatnonzero(sizes == dim)
+        u = np.frombuffer(b"".join(units[k] for k in at)).reshape(len(at), -1)
+        i, j = np.nonzero(np.triu(u @ u.T >= least, 1))
+        i, j = at[i], at[j]
+        ok = home[i] | home[j]
+        if not within:
+            ok &= side[i] != side[j]
+        i, j = i[ok], j[ok]
+        if not len(i):
+            continue
+        while True:
+            least_root = np.minimum(root[i], root[j])
+            before = root.copy()
+            np.minimum.at(root, i, least_root)
+            np.minimum.at(root, j, least_root)
+            if (before == root).all():
+                break
+        some = np.unique(np.concatenate([i, j]))
+        cells_of = np.frombuffer(b"".join(filed[k] for k in some), np.int64).reshape(-1, TABLES, PROBES)
+        first = first_meeting(ids[some], cells_of, np.searchsorted(some, i), np.searchsorted(some, j)) == key
+        np.add.at(links, i[first], copies[j[first]])
+        np.add.at(links, j[first], copies[i[first]])
+    told = (links > 0) | (root != ids)
+    return ids[told], links[told], root[told]
+
+
 def _work(least: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, key = pdf["rep"].to_numpy(), pdf["key"].iloc[0]
-        filed = np.stack([np.frombuffer(c, np.int64).reshape(TABLES, PROBES) for c in pdf["cells"]])
-        sizes = pdf["unit"].map(len).to_numpy()
-        copies, home, side, within = pdf["copies"].to_numpy(), pdf["home"].to_numpy(), pdf["own"].to_numpy(), pdf["a"].iloc[0] == pdf["b"].iloc[0]
-        links, root = np.zeros(len(ids), np.int64), ids.copy()
-        for dim in np.unique(sizes):
-            at = np.flatnonzero(sizes == dim)
-            u = np.stack([np.frombuffer(pdf["unit"].iloc[k]) for k in at])
-            i, j = np.nonzero(np.triu(u @ u.T >= least, 1))
-            i, j = at[i], at[j]
-            ok = (home[i] | home[j]) & (ids[i] != ids[j])
-            if not within:
-                ok &= side[i] != side[j]
-            i, j = i[ok], j[ok]
-            if not len(i):
-                continue
-            while True:
-                least_root = np.minimum(root[i], root[j])
-                before = root.copy()
-                np.minimum.at(root, i, least_root)
-                np.minimum.at(root, j, least_root)
-                if (before == root).all():
-                    break
-            first = first_meeting(ids, filed, i, j) == key
-            np.add.at(links, i[first], copies[j[first]])
-            np.add.at(links, j[first], copies[i[first]])
-        told = (links > 0) | (root != ids)
-        return pd.DataFrame({"rep": ids[told], "links": links[told], "root": root[told]})
+    """Links of the groups of rows with equal (key, a, b), which follow one another; no group has over 2 x BLOCK rows or so."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def told():
+            t = pa.Table.from_batches(held)
+            held.clear()
+            if t.num_rows < 2:
+                return
+            ids, copies, home, side = (t.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in (3, 4, 5, 6))
+            out = _linked(ids, copies, home.astype(bool), side, now[1] == now[2], t.column(7).to_pylist(), t.column(8).to_pylist(), now[0], least)
+            if len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["rep", "links", "root"])
+
+        for batch in batches:
+            key, a, b = (batch.column(k).to_numpy() for k in range(3))
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                mark = (int(key[lo]), int(a[lo]), int(b[lo])) if hi > lo else now
+                if mark != now and held:
+                    yield from told()
+                now = mark
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from told()
 
     return run
 
@@ -186,18 +215,16 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, block: int
 
     Links only pairs whose cosine reaches ``least``, and finds them with the recall that the
     tables give (over 0.99 at cosine 0.95). Null, empty, zero and non-finite vectors, and rows with a null id,
-    link with nothing; vectors of other lengths never link. Rows repeated under one id link with each other.
+    link with nothing; vectors of other lengths never link. Rows repeated under one id link with each other, and different vectors under
+    one id are told apart. An empty table gives no rows; other columns may have any names.
     """
     spark = vectors.sparkSession
     ship(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    ids = materialise(_classes(rows), "vector-digests")
-    classes = ids.where("same is not null").groupBy("same").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    chosen = rows.join(classes.groupBy("rep").agg(F.max("copies").alias("copies")), F.col("vec_id") == F.col("rep")).select("rep", "copies", "embedding")
-    repeated = ids.where("same is not null").select("vec_id", "same").distinct().groupBy("vec_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        raise ValueError("one vec_id stands for different vectors")
-    filed = materialise(_filed(chosen.dropDuplicates(["rep"])), "cells")
+    ids = materialise(_digests(rows), "vector-digests")
+    classes = ids.where("same is not null").groupBy("same").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    classes = materialise(classes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")  # numbers that the files keep
+    filed = materialise(_filed(classes.select("rep", "copies", "embedding")), "cells")
     each = filed.select("rep", F.posexplode("keys").alias("at", "key")).select("rep", "key", (F.col("at") % PROBES == 0).alias("home"))
     each = materialise(each.groupBy("key", "rep").agg(F.max("home").alias("home")), "calls")
     full = each.groupBy("key").agg(F.count("*").alias("n"), F.max("home").alias("any_home")).where("n > 1 and any_home").select("key", "n")
@@ -205,18 +232,24 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, block: int
     chunks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("rep"), chunks).cast("int")
     dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    dealt = dealt.select("key", "rep", "copies", "home", "unit", "cells", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-    told = materialise(dealt.groupBy("key", "a", "b").applyInPandas(_work(least), "rep long, links long, root long"), "links")
-    comp = components(told.select(F.col("rep").alias("u"), F.col("root").alias("v")))
+    dealt = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "rep", "copies", "home", "own", "unit", "cells")
+    dealt = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    told = materialise(dealt.mapInArrow(_work(least), "rep long, links long, root long"), "links")
+    comp = components(told.select(F.col("rep").alias("u"), F.col("root").alias("v"))).withColumnRenamed("u", "rep")
     links = told.groupBy("rep").agg(F.sum("links").alias("links"))
-    by_class = classes.join(links, "rep", "left").join(comp.withColumnRenamed("u", "rep"), "rep", "left")
-    by_class = by_class.select(F.col("same").alias("_same"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = ids.join(by_class, F.col("same") == F.col("_same"), "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    named = classes.select("same", "rep", "least_id", "copies").join(links, "rep", "left").join(comp, "rep", "left")
+    named = materialise(named.select("same", "least_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")), "named")
+    roots = named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("m"))
+    by_class = materialise(hot.join(named, roots, "component", "m", named.count()).select("same", "copies", "n_links", "component_id"), "by-class")
+    some = ids.where("same is not null").select("vec_id", "same")
+    found = hot.join(some, by_class, "same", "copies", some.count()).select("vec_id", "n_links", "component_id")
+    alone = ids.where("same is null").select("vec_id", F.lit(0).alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = found.union(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of ``embeddings``; vectors that can't link are components of their own."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 

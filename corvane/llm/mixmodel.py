@@ -42,7 +42,7 @@ FOLDS, SMOOTH = 10, 0.1
 #: Words sent to all tasks at most; those with a leaf of their own; buckets of the others; leaves that count as very common.
 DICTIONARY, SYMBOLS, BUCKETS, COMMON = 400_000, 4_096, 512, 255
 #: Slots of the contexts' tables as powers of two: the last very common word, the word before, the two words before.
-TABLE_BITS, LEAST_BITS = (20, 22, 22), 12
+TABLE_BITS, LEAST_BITS = (20, 22, 22), 14
 ORDERS, GATES, PRIOR, BLOCK_BITS = 3, 16, 0.35, 15
 #: Words along which a text's weights are kept before they learn; what holds back their change; words at once in a task.
 STEP, INERTIA, TOKENS_AT_ONCE = 64, 40.0, 40_000
@@ -460,7 +460,7 @@ def encoded(docs: DataFrame, words: Sent) -> DataFrame:
             row += len(sizes)
             total = lambda x: np.add.reduceat(x, ends - sizes)
             arrays = [
-                pa.array(rows), ids, pa.array(folds), pa.array(sizes), pa.array([sum(map(len, x)) + len(x) - 1 for x in found], pa.int64()), pa.array(total(known)), pa.array(total(base)), pa.array(np.bincount(doc[out], alone, minlength=len(sizes))),
+                pa.array(rows), ids, pa.array(folds), pa.array(sizes), pa.array([sum(map(len, x)) + len(x) - 1 for x in found], pa.int64()), pa.array(total(known)), pa.array(total(base)), pa.array(np.bincount(doc[out], alone, minlength=len(sizes)).astype(np.float64)),
                 pa.array([z.compress(x.astype(np.uint16).tobytes()) for x in np.split(leaf, ends[:-1])], pa.binary()), _lists(keys.view(np.int64), per_doc, pa.int64()),
                 _lists(np.diff(starts, append=len(h)), per_doc, pa.int32()), _lists(np.add.reduceat(inner, starts), per_doc, pa.float32()),
                 _lists(k[new].view(np.int64), rare, pa.int64()), _lists(np.diff(new, append=len(d)), rare, pa.int32()), _lists(spell, rare, pa.float32()),

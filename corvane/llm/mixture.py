@@ -1,16 +1,18 @@
 """Soft-membership mixing with built-in functions only.
 
 A classifier learned from the labelled table gives every document posterior probabilities of
-its domains. Nonnegative document rates are then fitted by projected gradient so that the
-expected tokens of the domains match target weights. A rate depends on the posterior alone, and
-posteriors are kept in hundredths, so the descent runs over the sums of a bounded number of
-cells, and each document's rate is the fold of the steps over its own posterior: nothing is joined.
+its domains, from its words and from a few traits of the whole text. Nonnegative document rates are then fitted by projected gradient so that the
+expected tokens of the domains match target weights. A rate depends on the posterior alone, in steps of a hundredth (a thousandth
+near zero), so documents fall into a bounded number of cells. Spark sums each cell's tokens and expected tokens, from exact
+posteriors; the descent runs over these sums until it has met the targets or can't come nearer; the rates go back to the documents by cell.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from corvane.runtime import materialise, table
 BUCKETS = 131_072
 #: The classifier learns from about so many labelled documents at most, chosen by a hash of the id.
 SAMPLE = 20_000
-PRIOR_DOCS, PRIOR_COUNT, LEAST_Z, LEAST_RATIO, STEPS, TOLERANCE = 50.0, 5000.0, 5.0, 4.0, 60, 1e-4
+PRIOR_DOCS, PRIOR_COUNT, LEAST_Z, LEAST_RATIO, TOLERANCE, STALL = 50.0, 5000.0, 5.0, 4.0, 1e-6, 1e-12
 #: Domains of the labelled table and the shares of tokens that they are to have.
 DOMAINS, TARGETS = ("clean", "toxic", "poor"), (0.96, 0.01, 0.03)
 #: The same for texts from which a quality classifier has taken the poor ones.
@@ -35,6 +37,25 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "[ \\t-\\r]+"), "")
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text and the like) with w, the words of the text, and b, the distinct buckets of its words and of traits of the whole text.
+
+    Traits begin with a space, which no word has: how varied, how long and how many the words are, and the shares of digits,
+    capitals, symbols and short words, each in steps, and three pairs of them."""
+    rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("w", _words(F.col("text")))
+    n, chars = F.greatest(F.size("w"), F.lit(1)), F.greatest(F.char_length("text"), F.lit(1))
+    share = lambda kind: F.floor(-F.log2(F.regexp_count("text", F.lit(f"[{kind}]")) / chars + 1e-4) * 2)
+    told = {
+        "varied": F.floor(20 * F.size(F.array_distinct("w")) / n), "long": F.floor(2 * chars / n), "digits": share("0-9"), "capitals": share("A-Z"),
+        "symbols": share(r"!#-&*+/<=>@\[-`{-~"), "short": F.floor(20 * F.size(F.filter("w", lambda x: F.char_length(x) <= 3)) / n), "words": F.floor(F.log2(n.cast("double"))),
+    }
+    rows = rows.withColumns({k: v.cast("string") for k, v in told.items()})
+    traits = [("varied",), ("long",), ("digits",), ("capitals",), ("symbols",), ("short",), ("words",), ("varied", "words"), ("symbols", "long"), ("short", "long")]
+    marks = F.array(*(F.concat_ws(" ", F.lit(""), F.lit("+".join(t)), *t) for t in traits))
+    marks = F.when(F.size("w") > 0, marks).otherwise(F.array(F.lit(" none")))
+    return rows.withColumn("b", F.array_distinct(F.transform(F.concat("w", marks), _bucket))).drop(*told)
+
+
 def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
@@ -42,7 +63,7 @@ def _bucket(word: Column) -> Column:
 def classifier(docs: DataFrame, domains: DataFrame, k: int, sample: int = SAMPLE) -> tuple[list[float], list[float], dict[int, list[float]]]:
     """Log priors, and log ratios to the overall share: of words that tell nothing, and of telling word buckets.
 
-    A bucket tells if its share of documents differs between domains. Words are counted once for a document, so that one
+    Ids are those of ``docs``; null ones and null domains teach nothing, and of an id with several domains the least counts. A bucket tells if its share of documents differs between domains. Words are counted once for a document, so that one
     that repeats itself weighs no more than others; the many words that tell nothing are counted together, which weighs
     the evidence of the others against a text's length.
     ``domains``: doc_id, domain (int from 0). Only buckets x domains counts reach the driver.
@@ -51,9 +72,9 @@ def classifier(docs: DataFrame, domains: DataFrame, k: int, sample: int = SAMPLE
     n = known.count()
     few = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(n, 1))))
     priors = [0] * k
-    for d, c in few.groupBy("domain").count().collect():
+    for d, c in docs.select("doc_id").join(F.broadcast(few), "doc_id").groupBy("domain").count().collect():
         priors[d] = c
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("domain", F.explode(F.array_distinct(F.transform(_words(F.col("text")), _bucket))).alias("b"))
+    rows = _marked(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")).select("domain", F.explode_outer("b").alias("b"))  # no b is empty; a filter on it would compute it again
     counts = [[0] * BUCKETS for _ in range(k)]
     for d, b, c in rows.groupBy("domain", "b").count().collect():
         counts[d][b] = c
@@ -88,94 +109,95 @@ def _adder(weights: Column):
 
 
 def posteriors(docs: DataFrame, priors: list[float], rest: list[float], ratios: dict[int, list[float]]) -> DataFrame:
-    """``docs`` with _n (tokens) and _p (array of the domains' posteriors in hundredths, as doubles)."""
+    """(doc_id, row, n_tokens, posterior) for each row of ``docs``: a hash of the text, its words, and the domains' posteriors.
+
+    Null and empty texts have no words and what the trait of having none tells; repeated rows stay."""
     place = [0] * BUCKETS
     for at, b in enumerate(sorted(ratios), 1):
         place[b] = at
     where = _literal(place, "int")
-    buckets = F.array_distinct(F.transform("_w", _bucket))
-    told = F.filter(F.transform("_b", lambda b: F.get(where, b)), lambda i: i > 0)
-    out = docs.withColumn("_w", _words(F.col("text"))).withColumn("_n", F.size("_w").cast("long")).withColumn("_b", buckets).withColumn("_i", told)
-    others = (F.size("_b") - F.size("_i")).cast("double")
+    rows = _marked(docs.select("doc_id", F.xxhash64("text").alias("row"), "text")).withColumn("n_tokens", F.size("w").cast("long"))
+    rows = rows.withColumn("i", F.filter(F.transform("b", lambda b: F.get(where, b)), lambda i: i > 0))
+    others = (F.size("b") - F.size("i")).cast("double")
     sums = []
     for d, prior in enumerate(priors):
         w = _literal([0.0, *(round(ratios[b][d], 6) for b in sorted(ratios))], "double")
-        sums.append(F.aggregate("_i", F.lit(float(prior)) + others * F.lit(round(rest[d], 9)), _adder(w)))
-    out = out.withColumn("_s", F.array(*sums))
-    soft = F.transform("_s", lambda s: F.exp(F.greatest(s - F.array_max("_s"), F.lit(-50.0))))
-    out = out.withColumn("_e", soft).withColumn("_t", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
-    rounded = F.transform("_e", lambda e: F.round(e / F.col("_t"), 2))
-    return out.withColumn("_p", rounded).drop("_w", "_b", "_i", "_s", "_e", "_t")
+        sums.append(F.aggregate("i", F.lit(float(prior)) + others * F.lit(round(rest[d], 9)), _adder(w)))
+    rows = rows.withColumn("s", F.array(*sums))
+    rows = rows.withColumn("e", F.transform("s", lambda s: F.exp(F.greatest(s - F.array_max("s"), F.lit(-50.0)))))
+    rows = rows.withColumn("t", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
+    return rows.select("doc_id", "row", "n_tokens", F.transform("e", lambda e: e / F.col("t")).alias("posterior"))
 
 
-def rate_of(p: Column, steps: list[list[float]], most: float) -> Column:
-    """The rate after the given steps (each a gradient by domain), from 1."""
-    if not steps:
-        return F.lit(float(min(1.0, most)))
-    flat = _literal([v for s in steps for v in s], "double")
-    k = len(steps[0])
-    move = lambda t: F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0.0), lambda a, j: a + F.get(p, j) * F.get(flat, t * k + j))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(min(1.0, float(most))), lambda r, t: F.least(F.greatest(r - move(t), F.lit(0.0)), F.lit(float(most))))
+def cell_of(posterior: Column) -> Column:
+    """The cell of a posterior: its parts in hundredths, and in thousandths below 0.05, as text."""
+    step = F.transform(posterior, lambda p: F.when(p < 0.05, F.round(p * 1000)).otherwise(F.round(p * 100) + 100).cast("int").cast("string"))
+    return F.array_join(step, ",")
 
 
-def fit(cells: DataFrame, targets: list[float], most: float) -> list[list[float]]:
-    """Projected gradient over ``cells`` (_p, n): minimises the squared relative errors of the domains' expected tokens.
+def fit(mass: np.ndarray, tokens: np.ndarray, targets: list[float], most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rates by cell, and the relative errors that are left by domain.
 
-    The budget is such that the domain of the largest target keeps its tokens as they are. A domain without
-    tokens can't be matched and is left out; one that falls short even at the largest rate stays there.
+    ``mass`` [cells, domains] are expected tokens and ``tokens`` [cells] all tokens. Projected gradient minimises the squared errors of the domains' expected tokens, in
+    relation to what there are. The budget is such that the domain of the largest target keeps its tokens as they are. A domain without
+    tokens can't be matched and is left out; one that falls short even at the largest rate stays there, and its error tells so.
     """
-    k = len(targets)
-
-    def expected(steps: list[list[float]]) -> list[float]:
-        r = rate_of(F.col("_p"), steps, most)
-        row = cells.agg(*(F.coalesce(F.sum(F.get("_p", F.lit(j)) * F.col("n") * r), F.lit(0.0)) for j in range(k))).first()
-        return [float(x) for x in row]
-
-    have = expected([])
+    rates, k = np.full(len(mass), min(1.0, most)), len(targets)
+    have = mass.T @ rates
     live = [j for j in range(k) if have[j] > 0 and targets[j] > 0]
     if not live:
-        return []
+        return rates, np.zeros(k)
     share = sum(targets[j] for j in live)
     main = max(live, key=lambda j: (targets[j], -j))
-    budget = have[main] / (targets[main] / share)
-    goal = [targets[j] / share * budget if j in live else 0.0 for j in range(k)]
-    steps: list[list[float]] = []
-    now = have
-    for _ in range(STEPS):
-        error = [(now[j] - goal[j]) / have[j] if have[j] > 0 else 0.0 for j in range(k)]
-        if max(map(abs, error)) < TOLERANCE or steps and max(abs(a - b) for a, b in zip(error, steps[-1])) < TOLERANCE / 10:
-            break  # met, or as near as the limits of the rates let it come
-        steps.append([round(e, 9) for e in error])
-        now = expected(steps)
-    return steps
+    goal = np.array([targets[j] / share * have[main] / (targets[main] / share) if j in live else 0.0 for j in range(k)])
+    p = mass / np.maximum(tokens, 1e-9)[:, None]
+    size, at = np.where(have > 0, have, 1.0), mass
+    while True:
+        gap = (at.T @ rates - goal) / size
+        new = np.clip(rates - p @ gap, 0, most)
+        if np.abs(gap * size / np.where(goal > 0, goal, size)).max() < TOLERANCE or np.abs(new - rates).max() < STALL:
+            break
+        rates = new
+    return rates, np.where(goal > 0, gap * size / np.where(goal > 0, goal, 1), gap)
 
 
 def mix(docs: DataFrame, domains: DataFrame, targets: tuple = TARGETS, most: float = 1.0) -> DataFrame:
-    """For each row doc_id, row (a hash of the text), n_tokens, posterior (array), rate and copies (rate rounded up or down by a hash of the id).
+    """For each row doc_id, row (xxhash64 of the text), n_tokens, posterior (array), rate and copies (rate rounded up or down by a hash of id and text).
 
-    Null and empty texts have no tokens and the prior's posterior; null ids hash like others, and
-    repeated rows share their rate and copies.
+    Null and empty texts have no tokens; null ids hash like others, texts under one id are told apart, and
+    repeated rows share their rate and copies. Warns where a target is missed by over a hundredth of it. An empty table gives no rows; other columns may have any names.
     """
-    told = posteriors(docs.select("doc_id", "text"), *classifier(docs, domains, len(targets)))
-    narrow = materialise(told.select("doc_id", F.xxhash64("text").alias("row"), F.col("_n").alias("n_tokens"), F.col("_p").alias("posterior")), "posteriors")
-    cells = materialise(narrow.groupBy(F.col("posterior").alias("_p")).agg(F.sum("n_tokens").alias("n")), "cells")
-    rows = narrow.withColumn("rate", rate_of(F.col("posterior"), fit(cells, list(targets), most), most))
-    spread = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1_000_000)) / 1e6
-    return rows.withColumn("copies", F.floor(F.col("rate") + spread).cast("long"))
+    k = len(targets)
+    rows = materialise(posteriors(docs.select("doc_id", "text"), *classifier(docs, domains, k)), "posteriors")
+    rows = rows.withColumn("cell", cell_of(F.col("posterior")))
+    sums = rows.groupBy("cell").agg(F.sum("n_tokens").cast("double"), *(F.sum(F.get("posterior", F.lit(j)) * F.col("n_tokens")) for j in range(k))).collect()
+    sums = sorted(map(tuple, sums))  # as many as the posterior has steps, whatever the corpus
+    flat = np.array([s[1:] for s in sums], np.float64).reshape(len(sums), k + 1)
+    rates, errors = fit(flat[:, 1:], flat[:, 0], list(targets), most)
+    if np.abs(errors).max(initial=0) > 0.01:
+        warnings.warn(f"the rates can't meet the targets: relative errors by domain {np.round(errors, 4).tolist()}", stacklevel=2)
+    spark = docs.sparkSession
+    told = spark.createDataFrame([(s[0], float(r)) for s, r in zip(sums, rates)] or [("", 0.0)], "cell string, rate double")
+    spread = F.pmod(F.xxhash64("doc_id", "row", F.lit("copies")), F.lit(1_000_000)) / 1e6
+    out = rows.join(F.broadcast(told), "cell").withColumn("copies", F.floor(F.col("rate") + spread).cast("long"))
+    return out.select("doc_id", "row", "n_tokens", "posterior", "rate", "copies")
 
 
 def mixed(docs: DataFrame, domains: DataFrame, targets: tuple = TARGETS, most: float = 1.0) -> DataFrame:
-    """``docs`` with each row repeated as often as its copies say (with ``most`` 1: kept or left out)."""
-    told = materialise(mix(docs, domains, targets, most).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "copies").where("copies <> 1").distinct(), "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row"))
-    kept = docs.join(told.where("copies = 0"), same, "left_anti")
+    """``docs`` with each row repeated as often as its copies say (with ``most`` 1: kept or left out), and all columns, whatever their names.
+
+    A row is known by its id, which may be null, and its text; repeated rows share their fate."""
+    told = materialise(mix(docs, domains, targets, most).select("doc_id", "row", "copies").where("copies <> 1").distinct(), "copies")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), F.struct("*").alias("all"))
+    same = lambda some: rows["doc_id"].eqNullSafe(some["doc_id"]) & (rows["row"] == some["row"])
     if most <= 1:
-        return kept
-    more = told.where("copies > 1").withColumnRenamed("copies", "_copies")
-    return kept.join(more, same, "left").withColumn("_k", F.explode(F.sequence(F.lit(1), F.coalesce(F.col("_copies"), F.lit(1)).cast("int")))).select(*docs.columns)
+        return rows.join(told, same(told), "left_anti").select("all.*")
+    times = F.explode(F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)).cast("int")))
+    return rows.join(told, same(told), "left").where("copies is null or copies > 0").withColumn("time", times).select("all.*")
 
 
 def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain): rows without a label of quality are left out."""
     return labels.where("quality is not null").select("doc_id", domain_of().alias("domain"))
 
 
@@ -185,6 +207,7 @@ def labelled_good(labels: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of ``documents``, as :func:`mix` defines it for nulls, empty texts and repeated rows."""
     out = mix(table(spark, sf_dir, "documents"), labelled(table(spark, sf_dir, "labels")), most=4.0)
     return out.select(
         "doc_id", "n_tokens", *(F.get("posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)), F.round("rate", 6).alias("rate"), "copies",

@@ -1,11 +1,11 @@
-"""Near-duplicate stage: documents whose five-word shingles overlap by 0.8 or more, through SimHash pivot tables.
+"""Near-duplicate stage: documents whose five-word shingles overlap by 0.8 or more, by SimHash fingerprints and exact overlap.
 
 A SimHash fingerprint of 256 bits is kept for each distinct text. Candidates meet under anchors, the least
 shingle hash under each of several orders, which two texts of similarity s share with probability s each, within
 classes of size: a text is filed under its own class and also calls at the next one. In
-blocks of bounded size their Hamming distances to many reference fingerprints are compared, pairs whose tables differ by more than the
-limit in any coordinate are discarded, and survivors are verified by their bits and then by the exact overlap
-of their shingles. A block gives back a spanning set of links, never its pairs.
+blocks of bounded size their Hamming distances to reference fingerprints are compared, pairs whose tables differ by more than the
+limit in any coordinate are discarded, and survivors are verified by their bits. Texts so connected form groups; only their shingles
+are made again, moved once to their group, and compared exactly. A block gives back a spanning set of links, never its pairs.
 """
 
 from __future__ import annotations
@@ -13,13 +13,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.graph import components
-from corvane.runtime import materialise, ship
+from corvane.runtime import discard, materialise, ship
 
-WIDTH, LEAST, ANCHORS, WORDS64, LIMIT, REFERENCES, BLOCK = 5, 0.8, 8, 4, 72, 16, 512
+WIDTH, LEAST, ANCHORS, WORDS64, REFERENCES, BLOCK = 5, 0.8, 8, 4, 16, 512
+#: Differing bits at most, for sets of FEW shingles or more, and for smaller ones, whose bits vary more.
+LIMIT, LIMIT_FEW, FEW = 72, 104, 64
+#: Members of groups are told to all tasks below this size, by a join beyond it.
+BROADCAST_BYTES = 64 << 20
 _ODD = np.array([xxhash.xxh64_intdigest(f"order {k}", 3) | 1 for k in range(max(ANCHORS, WORDS64))], np.uint64)
 _REFS = np.array([[xxhash.xxh64_intdigest(f"reference {k}.{j}", 7) for j in range(WORDS64)] for k in range(REFERENCES)], np.uint64)
 _BITS = np.array([[b >> k & 1 for k in range(8)] for b in range(256)], dtype=np.int64)
@@ -54,19 +59,23 @@ def sketch(h: np.ndarray) -> tuple[bytes, list[int]]:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text_hash, same, n, fp, anchors) for each row: a number of its own, and what its shingles give."""
+
     def run(batches):
+        at = TaskContext.get().partitionId() << 33
         for b in batches:
             rows = []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 h = shingles(t)
-                whole = xxhash.xxh3_128_digest(h.tobytes())
                 fp, marks = sketch(h) if len(h) else (b"", [])
-                rows.append((whole, fp, np.unique(h.astype(np.uint32)).tobytes() if len(h) else b"", [m - (1 << 64) if m >> 63 else m for m in marks]))
-            cols = list(zip(*rows)) or [()] * 4
-            kinds = (pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "same", "fp", "grams", "anchors"])
+                rows.append((at, xxhash.xxh3_128_digest(h.tobytes()), len(h), fp, [m - (1 << 64) if m >> 63 else m for m in marks]))
+                at += 1
+            cols = list(zip(*rows)) or [()] * 5
+            arrays = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([arrays[0], b.column(0), b.column(1), *arrays[1:]], names=["row", "doc_id", "text_hash", "same", "n", "fp", "anchors"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, same binary, fp binary, grams binary, anchors array<long>")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return picked.mapInArrow(run, "row long, doc_id long, text_hash long, same binary, n long, fp binary, anchors array<long>")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -77,80 +86,135 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(c) - both) if both else 0.0
 
 
-def _root(root: np.ndarray, k: int) -> int:
-    while root[k] != k:
+def _root(root: dict, k):
+    while root.setdefault(k, k) != k:
         root[k] = root[root[k]]
         k = root[k]
     return k
 
 
-def _linked(rows: list[tuple], within: bool):
-    """Links (u, v) that span what is linked among ``rows`` (rep, own, home, fp, grams) of one pair of blocks."""
-    ids, side, home, prints, grams = zip(*rows)
-    n, side, home = len(ids), np.array(side), np.array(home)
-    fp = np.frombuffer(b"".join(prints), np.uint64).reshape(n, WORDS64)
-    sets = [np.frombuffer(g, np.uint32) for g in grams]
-    size = np.array([len(g) for g in sets])
+def near_bits(fp: np.ndarray, pivots: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j) the sizes, the pivot tables and the bits leave."""
+    small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    limit = np.where(small < FEW, LIMIT_FEW, LIMIT)
+    ok = small >= LEAST * large
+    ok[ok] = np.abs(pivots[i[ok]] - pivots[j[ok]]).max(1, initial=0) <= limit[ok]
+    ok[ok] = np.bitwise_count(fp[i[ok]] ^ fp[j[ok]]).sum(1) <= limit[ok]
+    return ok
+
+
+def _pairs_of(group: np.ndarray, side: np.ndarray, home: np.ndarray, within: np.ndarray, fp: np.ndarray, size: np.ndarray):
+    """Surviving pairs (i, j) of rows that lie in one group, whose rows follow one another, a bounded number at once."""
     pivots = np.bitwise_count(fp[:, None, :] ^ _REFS[None]).sum(2).astype(np.int16)
-    root = np.arange(n)
-    for i in range(n - 1):
-        j = np.arange(i + 1, n)
-        j = j[(np.minimum(size[j], size[i]) >= LEAST * np.maximum(size[j], size[i])) & (home[j] | home[i])]
-        if not within:
-            j = j[side[j] != side[i]]
-        j = j[np.abs(pivots[j] - pivots[i]).max(1, initial=0) <= LIMIT]
-        j = j[np.bitwise_count(fp[j] ^ fp[i]).sum(1) <= LIMIT]
-        for k in j.tolist():
-            x, y = _root(root, i), _root(root, k)
-            if x != y and overlap(sets[i], sets[k]) >= LEAST:
-                root[max(x, y)] = min(x, y)
-    for k in range(n):
-        if root[k] != k:
-            yield ids[k], ids[_root(root, k)]
-
-
-def _work(batches):
-    """Links of the groups of rows with equal (key, a, b), which come one after another; no group has over 2 x BLOCK rows or so."""
-    now, held = None, []
-
-    def told():
-        out = list(_linked(held, now[1] == now[2])) if len(held) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
-
-    for batch in batches:
-        for key, a, b, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if (key, a, b) != now:
-                if len(held) > 1:
-                    yield told()
-                now, held = (key, a, b), []
-            held.append(row)
-    if len(held) > 1:
-        yield told()
+    ends = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
+    after = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(group)) - 1  # rows of the group after each
+    lo = 0
+    while lo < len(group):
+        hi = max(lo + 1, int(np.searchsorted(np.cumsum(after[lo:]), 1_000_000)) + lo)
+        i = np.repeat(np.arange(lo, hi), after[lo:hi])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[lo:hi]) - after[lo:hi], after[lo:hi])
+        ok = (home[i] | home[j]) & (within[i] | (side[i] != side[j]))
+        i, j = i[ok], j[ok]
+        ok = near_bits(fp, pivots, size, i, j)
+        yield from zip(i[ok].tolist(), j[ok].tolist())
+        lo = hi
+
+
+def _work(exact: bool):
+    """Links (u, v) that span what is linked in each group of rows with equal (key, a, b), which follow one another.
+
+    Columns: key, a, b, rep, own, home, n, fp and, if ``exact``, grams. A group has 2 x BLOCK rows or so at most.
+    """
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 8 * BLOCK:
+                held = yield from told(held, False)
+                rows = sum(b.num_rows for b in held)
+        yield from told(held, True)
+
+    def told(held, last):
+        if not held:
+            return []
+        t = pa.Table.from_batches(held).combine_chunks()
+        key, a, b = (t.column(k).to_numpy() for k in range(3))
+        new = np.append(True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        group, n = np.cumsum(new), t.num_rows
+        if not last:  # the last group may go on
+            n = int(np.flatnonzero(new)[-1])
+        if n:
+            ids, own, home, size = (t.column(k).to_numpy()[:n] for k in (3, 4, 5, 6))
+            fp = np.frombuffer(b"".join(t.column(7)[:n].to_pylist()), np.uint64).reshape(n, WORDS64)
+            sets = [np.frombuffer(g, np.uint64) for g in t.column(8)[:n].to_pylist()] if exact else None
+            roots: dict = {}
+            out = []
+            for i, j in _pairs_of(group[:n], own, home.astype(bool), (a == b)[:n], fp, size):
+                u, v = int(ids[i]), int(ids[j])
+                x, y = _root(roots, u), _root(roots, v)
+                if x != y and (not exact or overlap(sets[i], sets[j]) >= LEAST):
+                    roots[max(x, y)] = min(x, y)
+                    out.append((u, v))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        return t.slice(n).to_batches() if n < t.num_rows else []
+
+    return run
+
+
+def _blocks(met: DataFrame, block: int, payload: list[str]) -> DataFrame:
+    """``met`` (key, size, rep, home, ...) dealt to pairs of blocks (a, b) of each key, sorted."""
+    chunks = F.ceil(F.col("size") / block).cast("int")
+    own = F.pmod(F.xxhash64("rep"), chunks).cast("int")
+    dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "rep", "own", "home", *payload)
+    return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+
+
+def _shingles_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(text_hash, same, grams) of the rows of ``docs`` whose text's hash is that of one of ``members`` (text_hash)."""
+
+    def run(batches):
+        for b in batches:
+            sets = [shingles(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["text_hash", "same", "grams"])
+
+    small = members.count() * 16 <= BROADCAST_BYTES
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text")
+    some = texts.join(F.broadcast(members) if small else members, "text_hash", "left_semi")
+    return some.mapInArrow(run, "text_hash long, same binary, grams binary")
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, component_id) for each row: the smallest id among rows linked, directly or through others.
+    """(doc_id, text_hash, component_id, kept) for each row: the smallest id among rows linked, directly or through others.
 
     Texts link whose shingle sets are equal or overlap by 0.8 or more; texts without words link with each other. Anchors
-    miss a pair at 0.8 with probability under 0.00001. A null id gets a component but names none; repeated rows stay.
+    miss a pair at 0.8 with probability under 0.00001. text_hash is xxhash64 of the text. Rows of one id with different texts are told
+    apart. A null id never names a component (null if no row of it has an id); repeated rows stay. kept is true for the rows of one text of each component: of the
+    smallest id, and of the smallest hash if that has several texts. An empty table gives no rows; other columns may have any names.
     """
     ship(docs.sparkSession)
     rows = materialise(_sketches(docs), "sketches")
-    classes = materialise(rows.groupBy("same").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = rows.join(classes.where("rep is not null").select("same", "rep"), "same").where("doc_id = rep and octet_length(fp) > 0").dropDuplicates(["rep"])
-    size_class = F.floor(F.log(F.octet_length("grams") / 4) / F.log(F.lit(1 / LEAST)) + 1e-9)
-    each = reps.select("rep", size_class.alias("size_class"), F.explode("anchors").alias("anchor")).withColumn("call", F.explode(F.array(F.lit(0), F.lit(1))))
-    each = each.select("rep", F.xxhash64("anchor", F.col("size_class") + F.col("call")).alias("key"), (F.col("call") == 0).alias("home"))
-    full = each.groupBy("key").agg(F.count("*").alias("n"), F.max("home").alias("any")).where("n > 1 and any").select("key", "n")
-    met = materialise(each.join(full, "key"), "met")
-    used = met.select("rep").distinct()
-    payload = reps.select("rep", "fp", "grams").join(used, "rep", "left_semi")
-    chunks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("rep"), chunks).cast("int")
-    dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    dealt = dealt.select("key", "rep", "home", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).join(payload, "rep")
-    blocks = dealt.select("key", "a", "b", "rep", "own", "home", "fp", "grams").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    links = materialise(blocks.mapInArrow(_work, "u long, v long"), "text-links")
+    classes = materialise(rows.groupBy("same").agg(F.min("row").alias("rep"), F.min_by(F.struct("n", "fp", "anchors", "text_hash"), "row").alias("x")).select("same", "rep", "x.*"), "classes")
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / LEAST)) + 1e-9)
+    each = classes.where("n > 0").select("rep", "n", "fp", size_class.alias("size_class"), F.explode("anchors").alias("anchor"))
+    each = each.select("rep", "n", "fp", "size_class", "anchor", F.explode(F.array(F.lit(0), F.lit(1))).alias("call"))
+    each = each.select("rep", "n", "fp", F.xxhash64("anchor", F.col("size_class") + F.col("call")).alias("key"), (F.col("call") == 0).alias("home"))
+    full = each.groupBy("key").agg(F.count("*").alias("size"), F.max("home").alias("any")).where("size > 1 and any").select("key", "size")
+    near = materialise(_blocks(each.join(full, "key"), block, ["n", "fp"]).mapInArrow(_work(False), "u long, v long"), "near-bits")
+    groups = materialise(components(near).select(F.col("u").alias("rep"), F.col("component").alias("key")), "groups")
+    members = materialise(classes.join(groups, "rep").select("same", "text_hash", "rep", "key", "n", "fp"), "members")
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    grams = _shingles_of(docs, members.select("text_hash").distinct()).groupBy("same").agg(F.first("grams").alias("grams"))
+    full = members.join(sizes, "key").withColumn("home", F.lit(True)).join(grams, "same")
+    links = materialise(_blocks(full, block, ["n", "fp", "grams"]).mapInArrow(_work(True), "u long, v long"), "text-links")
     comp = components(links)
-    root = classes.join(comp.select(F.col("u").alias("rep"), "component"), "rep", "left").select(F.col("same").alias("_same"), F.coalesce("component", "rep").alias("component_id"))
-    return rows.select("doc_id", "same").join(root, F.col("same") == F.col("_same")).select("doc_id", "component_id")
+    root = materialise(classes.select("same", "rep").join(comp.withColumnRenamed("u", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component")), "roots")
+    named = materialise(rows.select("doc_id", "text_hash", "same").join(root, "same").select("doc_id", "text_hash", "component"), "named")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    firsts = named.groupBy("component").agg(first).select("component", "first.doc_id", "first.text_hash").toDF("component", "component_id", "first_hash")
+    out = named.join(firsts, "component")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))
+    discard(near, members)
+    return out.select("doc_id", "text_hash", "component_id", kept.alias("kept"))

@@ -61,7 +61,7 @@ def statistics(text: str | None) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, fold, stats) for each row; only doc_id and text are read."""
+    """(doc_id, fold, stats, text_hash) for each row; only doc_id and text are read."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -69,10 +69,10 @@ def features(docs: DataFrame) -> DataFrame:
             rows = b.column(2).to_pylist()
             flat = np.concatenate([statistics(t) for t in rows]) if rows else np.zeros(0, np.float32)
             stats = pa.ListArray.from_arrays(pa.array(np.arange(0, N_STATS * (len(rows) + 1), N_STATS), pa.int32()), pa.array(flat, pa.float32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), stats], names=["doc_id", "fold", "stats"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), stats, b.column(3)], names=["doc_id", "fold", "stats", "text_hash"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), crc_fold(F.col("doc_id"), FOLDS).alias("fold"), F.col("text"))
-    return picked.mapInArrow(run, "doc_id long, fold int, stats array<float>")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), crc_fold(F.col("doc_id"), FOLDS).alias("fold"), F.col("text"), F.xxhash64("text").alias("text_hash"))
+    return picked.mapInArrow(run, "doc_id long, fold int, stats array<float>, text_hash long")
 
 
 class Fourier:
@@ -135,7 +135,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _raw(rows: DataFrame, four: Fourier, models: dict[int, np.ndarray], knots: tuple | None) -> DataFrame:
-    """(doc_id, fold, raw or score) with the model of the row's fold."""
+    """(doc_id, fold, raw or score, text_hash) with the model of the row's fold."""
 
     def run(batches):
         for b in batches:
@@ -145,13 +145,13 @@ def _raw(rows: DataFrame, four: Fourier, models: dict[int, np.ndarray], knots: t
                 raw[fold == f] = z[fold == f] @ w
             if knots is not None:
                 raw = np.clip(np.interp(raw, *knots), 0, 1) if len(knots[0]) else np.clip(raw, 0, 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw)], names=["doc_id", "fold", "raw"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw), b.column(3)], names=["doc_id", "fold", "raw", "text_hash"])
 
-    return rows.select("doc_id", "fold", "stats").mapInArrow(run, "doc_id long, fold int, raw double")
+    return rows.select("doc_id", "fold", "stats", "text_hash").mapInArrow(run, "doc_id long, fold int, raw double, text_hash long")
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """(doc_id, fold, score) for each row of ``docs``.
+    """(doc_id, fold, score, text_hash) for each row of ``docs``; text_hash is xxhash64 of the text.
 
     Learns from labelled rows outside fold 0 (crc32 of the id as text modulo 5). The score is the calibrated
     probability of label 1. Null and empty texts are scored from zero statistics; rows with a
@@ -164,7 +164,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFra
     cols = [F.col("stats")[k] for k in range(N_STATS)]
     got = train.agg(F.count("*"), *(F.avg(c) for c in cols), *(F.stddev_pop(c) for c in cols)).first()
     if not got[0]:
-        return rows.select("doc_id", "fold", F.lit(1.0).alias("score"))
+        return rows.select("doc_id", "fold", F.lit(1.0).alias("score"), "text_hash")
     four = Fourier(np.array(got[1 : 1 + N_STATS]), np.array(got[1 + N_STATS :]))
     sums = _normal_equations(train, four)
     whole = sum(sums.values())
@@ -178,11 +178,16 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFra
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without rows that score below ``threshold``; rows with a null id stay, for nothing names them."""
-    bad = score(docs, labels).where(F.col("score") < threshold).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    """``docs`` without rows that score below ``threshold``, with all columns, whatever their names.
+
+    A row is known by its id, which may be null, and its text, so texts under one id are judged apart; repeated rows share their fate.
+    """
+    bad = score(docs, labels).where(F.col("score") < threshold).select("doc_id", "text_hash").distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.struct("*").alias("all"))
+    return rows.join(bad, rows["doc_id"].eqNullSafe(bad["doc_id"]) & (rows["text_hash"] == bad["text_hash"]), "left_anti").select("all.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of ``documents``, with nulls, empty texts and labels as in :func:`score`; predicted is 1 from THRESHOLD on."""
     found = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", (F.col("fold") == 0).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

@@ -14,9 +14,11 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm import hot
 from corvane.runtime import materialise, ship, table
 
 KINDS = ("assign", "access", "hex", "token")
@@ -54,27 +56,29 @@ def candidates(text: str | None) -> list[tuple[int, int, int, str]]:
 
 
 def scan(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
-    """(doc_id, repo, owner, found) for each row; found lists its candidates."""
+    """(row, doc_id, text_hash, repo, owner, found) for each row, with a number of its own; found lists its candidates. Null and empty texts have none."""
     ship(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("digest", pa.binary()), ("random", pa.bool_())]))
 
     def run(batches):
+        at = TaskContext.get().partitionId() << 33
         for b in batches:
             out = [
                 [{"kind": k, "start": s, "end": e, "digest": hashlib.sha256(v.encode()).digest(), "random": entropy(v) >= LEAST_ENTROPY} for k, s, e, v in candidates(t)]
-                for t in b.column(3).to_pylist()
+                for t in b.column(4).to_pylist()
             ]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, kind)], names=["doc_id", "repo", "owner", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(out)), pa.int64()), *b.columns[:4], pa.array(out, kind)], names=["row", "doc_id", "text_hash", "repo", "owner", "found"])
+            at += len(out)
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), repository.cast("string").alias("repo"), owner.cast("string").alias("owner"), F.col("text"))
-    return picked.mapInArrow(run, f"doc_id long, repo string, owner string, found {_CANDIDATES}")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), repository.cast("string").alias("repo"), owner.cast("string").alias("owner"), F.col("text"))
+    return picked.mapInArrow(run, f"row long, doc_id long, text_hash long, repo string, owner string, found {_CANDIDATES}")
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
     """(digest, repositories, owners, uses) over the whole corpus.
 
     Distinct (digest, repository) and (digest, owner) pairs are formed first, so that a value that
-    a third of all rows hold is combined before any shuffle by digest.
+    a third of all rows hold is combined before any shuffle by digest. Null repositories and owners count as one more of each.
     """
     each = scanned.select("repo", "owner", F.explode("found").alias("c")).select("repo", "owner", F.col("c.digest").alias("digest"))
     pairs = each.groupBy("digest", "repo", "owner").agg(F.count("*").alias("uses"))
@@ -84,32 +88,38 @@ def ownership(scanned: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
-    """For each row: doc_id and its spans, each with kind, start, end, digest, repositories, owners, live.
+    """For each row: doc_id, text_hash (xxhash64 of the text) and its spans, each with kind, start, end, digest, repositories, owners, live.
 
-    Null and empty texts have none. Null repositories or owners count as one more of each; null ids are kept;
-    rows repeated under one id with one repository and owner come back once, with their spans once.
+    Null and empty texts have none. Null repositories or owners count as one more of each; null ids and repeated rows are
+    kept, each with its spans, and texts under one id are told apart.
     """
     rows = materialise(scan(docs, repository, owner), "candidates")
     stats = materialise(ownership(rows), "ownership")
-    each = rows.select("doc_id", F.explode("found").alias("c")).select("doc_id", "c.*").distinct()
-    known = each.join(stats, "digest").withColumn("live", F.col("random") & (F.col("owners") == 1))
-    spans = known.where((F.col("kind") < BASE) | F.col("live")).groupBy("doc_id").agg(
+    each = rows.select("row", F.explode("found").alias("c")).select("row", "c.*")
+    total = stats.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
+    known = hot.join(each, stats, "digest", "uses", total).withColumn("live", F.col("random") & (F.col("owners") == 1))
+    spans = known.where((F.col("kind") < BASE) | F.col("live")).groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end", "digest", "repositories", "owners", "live"))).alias("spans")
     )
-    ids = rows.select("doc_id").distinct()
     empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,digest:binary,repositories:bigint,owners:bigint,live:boolean>>)")
-    return ids.join(spans.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
+    return rows.select("row", "doc_id", "text_hash").join(spans, "row", "left").select("doc_id", "text_hash", F.coalesce("spans", empty).alias("spans"))
 
 
 def redact(docs: DataFrame, found: DataFrame, live_only: bool = False) -> DataFrame:
-    """``docs`` with the found spans of each text replaced by asterisks; texts without spans stay as they are."""
-    some = found.select(F.col("doc_id").alias("_id"), F.filter("spans", lambda s: s["live"] | F.lit(not live_only)).alias("_s")).where(F.size("_s") > 0)
-    hidden = F.aggregate("_s", F.col("text"), lambda t, s: F.overlay(t, F.repeat(F.lit("*"), s["end"] - s["start"]), s["start"] + 1, s["end"] - s["start"]))
-    return docs.join(some, F.col("doc_id") == F.col("_id"), "left").withColumn("text", F.when(F.col("_s").isNull(), F.col("text")).otherwise(hidden)).select(*docs.columns)
+    """``docs`` with the found spans of each text replaced by asterisks; texts without spans stay as they are.
+
+    A row is known by its id, which may be null, and its text; repeated rows are redacted alike, and all columns come along, whatever their names.
+    """
+    some = found.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.filter("spans", lambda s: s["live"] | F.lit(not live_only)).alias("spans")).where(F.size("spans") > 0)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text", F.struct("*").alias("all"))
+    out = rows.join(some, rows["doc_id"].eqNullSafe(some["doc_id"]) & (rows["text_hash"] == some["text_hash"]), "left")
+    hidden = F.aggregate("spans", F.col("text"), lambda t, s: F.overlay(t, F.repeat(F.lit("*"), s["end"] - s["start"]), s["start"] + 1, s["end"] - s["start"]))
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(hidden).alias("text")
+    return out.select(*(text if c == "text" else F.col("all")[c].alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document stands for a repository of its own, and its source for the owner."""
+    """A row for each row of ``documents``, null and empty texts without spans. Each document stands for a repository of its own, and its source for the owner."""
     docs = table(spark, sf_dir, "documents")
     out = find(docs, F.col("doc_id"), F.col("source"))
     names = F.array(*map(F.lit, KINDS))

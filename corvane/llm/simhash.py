@@ -119,20 +119,23 @@ def near_duplicates(docs: DataFrame, dense: int = DENSE) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of ``groups`` (doc_id, component_id): that with the smallest id.
+    """``docs`` with one document of each group of ``groups`` (doc_id, text_hash, kept): the rows that are ``kept``.
 
-    Rows whose id is null stay, for nothing names them. Rows repeated under one id count as one
-    document; should there be any, one of them stays.
+    A row is known by its id, which may be null, and xxhash64 of its text; of rows equal in both one stays, whichever. All columns
+    come along, whatever their names; an empty table stays empty.
     """
-    found = materialise(groups.select("doc_id", "component_id"), "groups")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not again:
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    found = materialise(groups.groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "groups")
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.struct("*").alias("all"))
+    same = lambda some: packed["doc_id"].eqNullSafe(some["doc_id"]) & (packed["text_hash"] == some["text_hash"])
+    gone, again = found.where("not kept"), found.where("kept and n > 1")
+    if again.limit(1).count():
+        several = packed.join(again, same(again), "left_semi").groupBy("doc_id", "text_hash").agg(F.first("all").alias("all")).select("all.*")
+        rest = found.where("not kept or n > 1")
+        return packed.join(rest, same(rest), "left_anti").select("all.*").union(several)
+    return packed.join(gone, same(gone), "left_anti").select("all.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of ``documents``, a row each; nulls, empty texts and repeated rows as in :func:`near_duplicates`."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

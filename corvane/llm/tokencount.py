@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.runtime import scratch_dir, ship, table
+from corvane.llm import hot
+from corvane.runtime import materialise, scratch_dir, ship, table
 
 LIMIT, MEMO = 2048, 400_000
 _open: dict = {}
@@ -70,17 +71,23 @@ class Encoder:
         return n
 
 
+#: The pattern of the normaliser and that of the split after which no piece reaches over white space.
+_SPACES, _PIECES = r"\s+", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def _splits_at_space(spec: dict) -> bool:
     """Whether the file's normaliser and pre-tokeniser work on each piece between white space alone.
 
-    True for NFC, white space to one space and lower-casing, then a split that drops white space;
-    with added tokens that have no white space and take none beside them.
+    True for NFC, white space to one space and lower-casing, then a split by the known pattern that drops white space;
+    with added tokens that have no white space and take none beside them. Any other file's texts are encoded whole.
     """
-    norm = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    norm = (spec.get("normalizer") or {}).get("normalizers", [])
     pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    drops = bool(pre) and pre[0].get("type") == "Split" and pre[0].get("invert") and pre[0].get("behavior") == "Removed" and not pre[1].get("add_prefix_space")
-    plain = all(not (re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec.get("added_tokens", []))
-    return norm == ["NFC", "Replace", "Lowercase"] and drops and plain
+    if [n.get("type") for n in norm] != ["NFC", "Replace", "Lowercase"] or [p.get("type") for p in pre] != ["Split", "ByteLevel"]:
+        return False
+    spaces = norm[1].get("pattern") == {"Regex": _SPACES} and norm[1].get("content") == " "
+    drops = pre[0].get("pattern") == {"Regex": _PIECES} and pre[0].get("invert") is True and pre[0].get("behavior") == "Removed" and not pre[1].get("add_prefix_space")
+    return spaces and drops and all(not (re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec.get("added_tokens", []))
 
 
 def encoder(path: str) -> Encoder:
@@ -101,7 +108,7 @@ def digest(text):
 
 
 def encode_misses(docs: DataFrame, cache: DataFrame | None, path: str) -> DataFrame:
-    """(digest, n_tokens) of each distinct text of ``docs`` that ``cache`` (digest) lacks."""
+    """(digest, n_tokens) of each distinct text of ``docs`` that ``cache`` (digest) lacks. A null text counts as empty; no rows give none."""
     import zstandard
 
     ship(docs.sparkSession)
@@ -137,11 +144,12 @@ def encode_misses(docs: DataFrame, cache: DataFrame | None, path: str) -> DataFr
     return dealt.mapInArrow(encode, "digest binary, n_tokens long")
 
 
-def count_tokens(docs: DataFrame, path: str, cache_dir: str) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, cache_dir: str, increments: int = 2) -> DataFrame:
     """doc_id, n_bytes, n_tokens for each row of ``docs``; the counts of new texts are appended to ``cache_dir``.
 
-    The cache is Parquet, partitioned by the tokenizer's version; it may be missing. An append that is
-    lost halfway leaves no rows, as Spark commits files at the end. Null texts count as empty, null ids and repeated rows stay.
+    The rows are looked up in ``increments`` by a hash of their ids, so that what one has appended the next one finds, and a lost run begins with what is stored. The
+    cache is Parquet, partitioned by the tokenizer's version; it may be missing. An append that is
+    lost halfway leaves no rows, as Spark commits files at the end. Null texts count as empty, null ids and repeated rows stay; other columns may have any names.
     """
     spark = docs.sparkSession
     tag = version(path)
@@ -153,14 +161,18 @@ def count_tokens(docs: DataFrame, path: str, cache_dir: str) -> DataFrame:
             return None
         return spark.read.schema(schema).parquet(cache_dir).where(F.col("tokenizer") == tag).select("digest", "n_tokens")
 
-    encode_misses(docs, stored(), path).withColumn("tokenizer", F.lit(tag)).write.mode("append").partitionBy("tokenizer").parquet(cache_dir)
-    known = stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    for k in range(increments):
+        some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(increments)) == k)
+        encode_misses(some, stored(), path).withColumn("tokenizer", F.lit(tag)).write.mode("append").partitionBy("tokenizer").parquet(cache_dir)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest(text).alias("digest"))
-    return rows.join(known, "digest").select("doc_id", "n_bytes", "n_tokens")
+    rows = materialise(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest(text).alias("digest")), "digests")
+    held = rows.groupBy("digest").agg(F.count("*").alias("m"))
+    known = materialise(held.join(stored().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "digest"), "known")
+    return hot.join(rows, known, "digest", "m", rows.count()).select("doc_id", "n_bytes", "n_tokens")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of ``documents``; a null text has no bytes and the tokens of an empty one."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")

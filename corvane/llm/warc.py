@@ -27,15 +27,20 @@ LEAST_SHARED, PIECE = 100, 1 << 20
 _DATE = "2026-01-01T00:00:00Z"
 
 
-def record(page_id: int, url: str, payload: bytes, kind: str, digest: str, size: int, refers: int | None) -> bytes:
+def record_id(page_id: int | None, digest: str) -> str:
+    """A record is named by its page and its payload; a page without an id by the payload alone."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest[:32]}>"
+
+
+def record(page_id: int | None, url: str, payload: bytes, kind: str, digest: str, size: int, refers: int | None) -> bytes:
     """One WARC/1.1 record; a revisit has no payload but the identity of the record that has it."""
     lines = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {_DATE}", f"WARC-Target-URI: {_one_line(url)}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {_DATE}", f"WARC-Target-URI: {_one_line(url)}",
         f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response",
     ]
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers, digest)}"]
         payload = b""
     body = head + payload
     return "\r\n".join([*lines, f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
@@ -70,16 +75,19 @@ def records(pieces):
 
 
 def inflate(stream):
-    """Inflated pieces of a gzip stream of one member or many."""
-    z = zlib.decompressobj(31)
+    """Inflated pieces of a gzip stream of one member or many; a stream that is cut short raises."""
+    z, begun = zlib.decompressobj(31), False
     while data := stream.read(PIECE):
         while data:
+            begun = True
             yield z.decompress(data)
             data = z.unused_data
             if z.eof:
-                z = zlib.decompressobj(31)
+                z, begun = zlib.decompressobj(31), False
             else:
                 break
+    if begun:
+        raise ValueError("the archive's compressed stream is cut short")
 
 
 def parse(raw: bytes) -> dict:
@@ -92,7 +100,7 @@ def parse(raw: bytes) -> dict:
     digest = fields["warc-payload-digest"].partition(":")[2]
     if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != said):
         raise ValueError(f"record {fields['warc-record-id']} does not hold what its header says")
-    page = lambda x: int(x.strip("<>").rpartition(":")[2])
+    page = lambda x: int(p) if (p := x.strip("<>").split(":")[2]) else None
     return {
         "page_id": page(fields["warc-record-id"]), "payload_bytes": said, "payload_digest": digest, "record_type": kind,
         "refers_to": page(fields["warc-refers-to"]) if kind == "revisit" else None, "payload": payload if kind == "response" else None, "url": fields["warc-target-uri"],
@@ -105,29 +113,35 @@ def _place(uri: str):
 
 
 def _commit(fs, temp: str, final: str) -> None:
-    if fs.get_file_info(final).type != pafs.FileType.NotFound:
+    """Give a file its final name; where a file system doesn't replace, that of an earlier attempt goes first."""
+    try:
+        fs.move(temp, final)
+    except OSError:
         fs.delete_file(final)
-    fs.move(temp, final)
+        fs.move(temp, final)
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
     """(page_id, url, html, digest, size, kind, refers_to): which record each page becomes.
 
-    What a page becomes is settled on digests alone; the payloads are moved once, to where their page_id's decision is.
+    What a page becomes is settled on digests alone; the payloads are moved once, to where their page's decision is. Null html is
+    empty; a page with a null id is never referred to but may revisit another; repeated rows stay.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"))
     ids = rows.select("page_id", "digest", "size").distinct()
     first = ids.where(F.col("size") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"))
-    again = F.col("first").isNotNull() & (F.col("first") != F.col("page_id"))
-    told = ids.join(first, "digest", "left").select("page_id", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"))
-    return rows.join(told, ["page_id", "digest"])
+    again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
+    named = F.struct(F.col("page_id").isNull(), F.coalesce("page_id", F.lit(0))).alias("named")
+    told = ids.join(first, "digest", "left").select(named, "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"))
+    return rows.withColumn("named", F.struct(F.col("page_id").isNull(), F.coalesce("page_id", F.lit(0)))).join(told, ["named", "digest"]).drop("named")
 
 
 def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
     """Archives of one gzip stream each below ``folder``, one for a task; returns (file, records).
 
-    Rows with a null page_id can't be named by a record and are left out; repeated rows repeat their record.
+    Each row becomes a record, also one with a null page_id; different payloads under one page_id have records of different names, and
+    repeated rows repeat their record. An empty table writes nothing; extra columns are not read.
     """
     ship(pages.sparkSession)
     columns = ("page_id", "url", "html", "digest", "size", "kind", "refers_to")
@@ -150,12 +164,12 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
             _commit(fs, temp, f"{top}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["file", "records"])
 
-    return plan_records(pages.where("page_id is not null")).select(*columns).mapInArrow(run, "file string, records long")
+    return plan_records(pages).select(*columns).mapInArrow(run, "file string, records long")
 
 
 def normalise(archives: DataFrame, folder: str, target: str) -> DataFrame:
     """Rewrite each archive (column file, below ``folder``) to ``target`` with one member for a record
-    and a sidecar index beside it; returns the index: (file, offset, length)."""
+    and a sidecar index beside it; returns the index: (file, offset, length). No archives give no index; one that is cut short raises."""
     ship(archives.sparkSession)
 
     def run(batches):
@@ -187,7 +201,7 @@ def read_index(spark: SparkSession, target: str) -> DataFrame:
 
 
 def read_records(index: DataFrame, target: str, payloads: bool = False) -> DataFrame:
-    """The records that ``index`` (file, offset, length) names, each read by seeking to its member."""
+    """The records that ``index`` (file, offset, length) names, each read by seeking to its member; page_id may be null."""
     ship(index.sparkSession)
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["payload"] if payloads else [])]
     types = dict(page_id=pa.int64(), payload_bytes=pa.int64(), payload_digest=pa.string(), record_type=pa.string(), refers_to=pa.int64(), payload=pa.binary())
@@ -214,7 +228,7 @@ def read_records(index: DataFrame, target: str, payloads: bool = False) -> DataF
 def round_trip(pages: DataFrame, folder: str) -> DataFrame:
     """Write ``pages`` as monolithic archives, normalise them, and read all records back by their index.
 
-    A page with a null id has no record and so no row; null and empty html is an empty payload.
+    A row comes back for each row, null ids and repeated rows included; null and empty html is an empty payload.
     """
     written = materialise(write_monolithic(pages, f"{folder}/whole"), "archives")
     files = max(1, written.count())
@@ -223,6 +237,7 @@ def round_trip(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of ``pages``, read back from the archives."""
     return round_trip(table(spark, sf_dir, "pages"), scratch_dir(spark, "warc"))
 
 
