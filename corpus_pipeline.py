@@ -1,4 +1,8 @@
-"""Corpus pipeline: quality, near duplicates, decontamination, mixing, sharding."""
+"""Corpus pipeline: quality, near duplicates, decontamination, mixing, sharding.
+
+Every stage keeps all columns, whatever their names, and passes null ids, null and empty texts and repeated rows on to its
+operator, which says what becomes of them; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -12,23 +16,30 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores 0.3 or more."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the smallest id, or the only text without one."""
     return simhash.keep_one(docs, neartext.near_duplicates(docs))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents kept by their rate, at most 1, such that the shares of tokens meet the targets."""
     return mixture.mixed(docs, mixture.labelled_good(table(spark, sf_dir, "labels")), mixture.GOOD_TARGETS)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = shards.reshard(docs, shards.text_size(F.col("text")), shards.old_shard(docs, shards.OLD_SHARDS), shards.OLD_SHARDS, shards.NEW_SHARDS)
+    """All documents with their shard and slot, read back from the rewritten files."""
+    old = shards.old_shard(docs, shards.OLD_SHARDS)
+    placed = shards.reshard(docs, shards.text_size(F.col("text")), old, shards.OLD_SHARDS, shards.NEW_SHARDS)
+    out, _ = shards.rewrite(placed, shards.old_shard(placed, shards.OLD_SHARDS), scratch_dir(spark, "shards"))
     return out.drop("moved")
 
 
@@ -45,6 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents`` in order, each written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
