@@ -23,6 +23,7 @@ import math
 import pickle
 import uuid
 import zlib
+from collections import Counter
 from itertools import repeat
 
 import numpy as np
@@ -40,12 +41,12 @@ from corvane.runtime import discard, materialise, ship, table
 END = b"\n"
 FOLDS, SMOOTH = 10, 0.1
 #: Words sent to all tasks at most; those with a leaf of their own; buckets of the others; leaves that count as very common.
-DICTIONARY, SYMBOLS, BUCKETS, COMMON = 400_000, 4_096, 512, 255
+DICTIONARY, SYMBOLS, BUCKETS, COMMON = 400_000, 1_024, 512, 255
 #: Slots of the contexts' tables as powers of two: the last very common word, the word before, the two words before.
-TABLE_BITS, LEAST_BITS = (20, 22, 22), 14
+TABLE_BITS, LEAST_BITS = (18, 20, 20), 14
 ORDERS, GATES, PRIOR, BLOCK_BITS = 3, 16, 0.35, 15
 #: Words along which a text's weights are kept before they learn; what holds back their change; words at once in a task.
-STEP, INERTIA, TOKENS_AT_ONCE = 64, 40.0, 40_000
+STEP, INERTIA, TOKENS_AT_ONCE = 64, 40.0, 60_000
 #: Distinct words that a task counts before it sends them; words of which one task counts the contexts.
 FLUSH, TOKENS_A_TASK = 200_000, 40_000_000
 #: A phrase has so many words on the mean; phrases of at least 1 / COMMON_PHRASES of all are sent to all tasks.
@@ -358,7 +359,7 @@ def token_table(docs: DataFrame) -> DataFrame:
     """(token, c): every distinct word of the training documents and its count."""
 
     def run(batches):
-        counts: dict[bytes, int] = {}
+        counts: Counter = Counter()
 
         def out():
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "c"])
@@ -366,8 +367,7 @@ def token_table(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                for t in tokens_of(text):
-                    counts[t] = counts.get(t, 0) + 1
+                counts.update(tokens_of(text))
                 if len(counts) > FLUSH:
                     yield from out()
         yield from out()
@@ -460,7 +460,7 @@ def encoded(docs: DataFrame, words: Sent) -> DataFrame:
             row += len(sizes)
             total = lambda x: np.add.reduceat(x, ends - sizes)
             arrays = [
-                pa.array(rows), ids, pa.array(folds), pa.array(sizes), pa.array([sum(map(len, x)) + len(x) - 1 for x in found], pa.int64()), pa.array(total(known)), pa.array(total(base)), pa.array(np.bincount(doc[out], alone, minlength=len(sizes)).astype(np.float64)),
+                pa.array(rows), ids, pa.array(folds), pa.array(sizes), pa.array(np.add.reduceat(np.fromiter(map(len, flat), np.int64, len(flat)), ends - sizes) + sizes - 1), pa.array(total(known)), pa.array(total(base)), pa.array(np.bincount(doc[out], alone, minlength=len(sizes)).astype(np.float64)),
                 pa.array([z.compress(x.astype(np.uint16).tobytes()) for x in np.split(leaf, ends[:-1])], pa.binary()), _lists(keys.view(np.int64), per_doc, pa.int64()),
                 _lists(np.diff(starts, append=len(h)), per_doc, pa.int32()), _lists(np.add.reduceat(inner, starts), per_doc, pa.float32()),
                 _lists(k[new].view(np.int64), rare, pa.int64()), _lists(np.diff(new, append=len(d)), rare, pa.int32()), _lists(spell, rare, pa.float32()),
@@ -555,14 +555,14 @@ def learn_weights(rows: DataFrame, sent: Sent) -> np.ndarray:
         m, total = sent.get(), np.zeros((GATES, n, n + 1))
         for _, texts in _leaves(batches, 0):
             r, x, gate, s = m.predict(texts, np.ones(len(texts), bool), online=False)
-            p = squash(s)
+            p = 1.0 / (1.0 + np.exp(-s))
+            err, bend = r.bit - p, p * (1 - p)
             order = np.argsort(gate.astype(np.int8), kind="stable")
-            x, err, bend = x[:, order], (r.bit - p)[order], (p * (1 - p))[order]
-            ends = np.searchsorted(gate[order], np.arange(GATES + 1))
-            for g, (lo, hi) in enumerate(zip(ends, ends[1:])):
-                part = x[:, lo:hi]
-                total[g, :, :n] += (part * bend[lo:hi]) @ part.T
-                total[g, :, n] += part @ err[lo:hi]
+            ends = np.cumsum(np.bincount(gate, minlength=GATES))
+            for g, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends)):
+                some = order[lo:hi]
+                part = np.stack([np.take(row, some) for row in (*x, err)])
+                total[g] += np.column_stack([(part[:n] * np.take(bend, some)) @ part[:n].T, part[:n] @ part[n]])
         yield _block(0, total.ravel())
 
     total = _summed(rows.select("leaves").mapInArrow(run, "block int, m binary")).get(0, np.zeros(GATES * n * (n + 1))).reshape(GATES, n, n + 1)
