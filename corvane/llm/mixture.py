@@ -22,7 +22,7 @@ from corvane.runtime import materialise, table
 BUCKETS = 131_072
 #: The classifier learns from about so many labelled documents at most, chosen by a hash of the id.
 SAMPLE = 20_000
-PRIOR_DOCS, PRIOR_COUNT, LEAST_Z, LEAST_RATIO, TOLERANCE, STALL = 50.0, 5000.0, 5.0, 4.0, 1e-6, 1e-12
+PRIOR_DOCS, PRIOR_COUNT, LEAST_Z, LEAST_RATIO, TOLERANCE, STALL = 50.0, 5000.0, 5.0, 4.0, 1e-5, 1e-10
 #: Domains of the labelled table and the shares of tokens that they are to have.
 DOMAINS, TARGETS = ("clean", "toxic", "poor"), (0.96, 0.01, 0.03)
 #: The same for texts from which a quality classifier has taken the poor ones.
@@ -139,7 +139,7 @@ def fit(mass: np.ndarray, tokens: np.ndarray, targets: list[float], most: float)
     """Rates by cell, and the relative errors that are left by domain.
 
     ``mass`` [cells, domains] are expected tokens and ``tokens`` [cells] all tokens. Projected gradient minimises the squared errors of the domains' expected tokens, in
-    relation to what there are. The budget is such that the domain of the largest target keeps its tokens as they are. A domain without
+    relation to what there are, with momentum. The budget is such that the domain of the largest target keeps its tokens as they are. A domain without
     tokens can't be matched and is left out; one that falls short even at the largest rate stays there, and its error tells so.
     """
     rates, k = np.full(len(mass), min(1.0, most)), len(targets)
@@ -151,14 +151,24 @@ def fit(mass: np.ndarray, tokens: np.ndarray, targets: list[float], most: float)
     main = max(live, key=lambda j: (targets[j], -j))
     goal = np.array([targets[j] / share * have[main] / (targets[main] / share) if j in live else 0.0 for j in range(k)])
     p = mass / np.maximum(tokens, 1e-9)[:, None]
-    size, at = np.where(have > 0, have, 1.0), mass
-    while True:
-        gap = (at.T @ rates - goal) / size
-        new = np.clip(rates - p @ gap, 0, most)
-        if np.abs(gap * size / np.where(goal > 0, goal, size)).max() < TOLERANCE or np.abs(new - rates).max() < STALL:
-            break
+    size, aim = np.where(have > 0, have, 1.0), np.where(goal > 0, goal, np.where(have > 0, have, 1.0))
+    ahead, pace, best, quiet = rates, 1.0, math.inf, 0
+    while quiet < 500:  # steps that no longer gain anything
+        new = np.clip(ahead - p @ ((mass.T @ ahead - goal) / size), 0, most)
+        left = mass.T @ new - goal
+        loss = float((left * left / size).sum())
+        quiet = quiet + 1 if loss >= best * (1 - 1e-9) else 0
+        best = min(best, loss)
+        met = np.abs(left / aim).max() < TOLERANCE or np.abs(new - ahead).max() < STALL
+        if (ahead - new) @ (new - rates) > 0:  # momentum that leads back begins anew
+            ahead, pace = new, 1.0
+        else:
+            pace, before = (1 + math.sqrt(1 + 4 * pace * pace)) / 2, pace
+            ahead = new + (before - 1) / pace * (new - rates)
         rates = new
-    return rates, np.where(goal > 0, gap * size / np.where(goal > 0, goal, 1), gap)
+        if met:
+            break
+    return rates, (mass.T @ rates - goal) / aim
 
 
 def mix(docs: DataFrame, domains: DataFrame, targets: tuple = TARGETS, most: float = 1.0) -> DataFrame:
