@@ -93,6 +93,17 @@ def span(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
 
 
+def pose_ratios(marks: dict[str, tuple[Column, Column]]) -> dict[str, Column]:
+    """Ratios of a body by its landmarks' places (x, y), zero where the denominator is."""
+    middle = lambda part: tuple((a + b) / 2 for a, b in zip(marks[f"left_{part}"], marks[f"right_{part}"]))
+    wide = lambda part: span(*marks[f"left_{part}"], *marks[f"right_{part}"])
+    hips, ankles = middle("hip"), middle("ankle")
+    return {
+        "shoulder_hip": ratio(wide("shoulder"), wide("hip")), "leg_torso": ratio(span(*hips, *ankles), span(*middle("shoulder"), *hips)),
+        "span_height": ratio(wide("wrist"), span(*marks["nose"], *ankles)),
+    }
+
+
 def yaw(nose_x: Column, left_x: Column, right_x: Column) -> Column:
     """Turn of a head in degrees from the nose's place between the eyes."""
     half = F.abs(right_x - left_x) / 2

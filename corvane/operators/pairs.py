@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,19 +24,21 @@ def self_block(rows: DataFrame, keys: list[str], id_col: str = "id") -> DataFram
     return left.join(right, keys).where("a < b").select("a", "b").distinct()
 
 
-def hamming_join(hashes: DataFrame, limit: int = 10, bits: int = 64) -> DataFrame:
+def hamming_join(hashes: DataFrame, limit: int = 10, bits: int = 64, width: int = 16) -> DataFrame:
     """Pairs (a, b, distance) of (id, h) within ``limit`` bits, all of them.
 
-    ``bits`` are cut into limit + 1 bands; a pair within the limit agrees on one band at least. Equal
+    ``bits`` are cut into bands of ``width``; a pair within the limit differs in limit // bands bits at most on one band at least. So
+    each hash is filed under its bands and calls at the values that near, and bands as wide hold few unrelated hashes. Equal
     hashes are compared once, through their first id, and spread to the others at the end.
     """
-    n = limit + 1
-    edges = [round(k * bits / n) for k in range(n + 1)]
+    bands = max(1, bits // width)
+    edges = [round(k * bits / bands) for k in range(bands + 1)]
     firsts = hashes.dropna().groupBy("h").agg(F.min("id").alias("rep"))
-    band = lambda k: F.shiftrightunsigned("h", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
-    keyed = firsts.select("h", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), band(k).alias("v")) for k in range(n)))).alias("key"))
-    x, y = keyed.select("key", F.col("h").alias("hx")), keyed.select("key", F.col("h").alias("hy"))
-    near = x.join(y, "key").where("hx < hy").where(hamming(F.col("hx"), F.col("hy")) <= limit).select("hx", "hy").distinct()
+    part = lambda k: F.shiftrightunsigned("h", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)).cast("int")
+    each = firsts.select("h", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), part(k).alias("v")) for k in range(bands)))).alias("key")).select("h", "key.*")
+    masks = [sum(1 << b for b in some) for r in range(limit // bands + 1) for some in combinations(range(-(-bits // bands)), r)]
+    calls = each.select("k", F.col("h").alias("hx"), F.explode(F.transform(F.lit(masks), lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
+    near = calls.join(each.withColumnRenamed("h", "hy"), ["k", "v"]).where("hx < hy").where(hamming(F.col("hx"), F.col("hy")) <= limit).select("hx", "hy").distinct()
     rows = hashes.dropna().distinct()
     a, b = rows.select(F.col("id").alias("a"), F.col("h").alias("hx")), rows.select(F.col("id").alias("b"), F.col("h").alias("hy"))
     apart = near.join(a, "hx").join(b, "hy").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), hamming(F.col("hx"), F.col("hy")).alias("distance"))
@@ -132,7 +136,7 @@ def file_quality(width: Column, height: Column, rate: Column, codec: Column) ->
 def keepers(files: DataFrame, group: str) -> DataFrame:
     """``files`` (group, file_id, size, quality) by group of two or more: keeper (best quality, first id), total and savings."""
     w = Window.partitionBy(group)
-    ranked = files.withColumn("_k", F.row_number().over(w.orderBy(F.desc("quality"), "file_id"))).withColumn("_n", F.count("*").over(w))
+    ranked = files.withColumn("_k", F.row_number().over(w.orderBy(F.desc("quality"), "file_id", F.desc("size")))).withColumn("_n", F.count("*").over(w))
     return ranked.where("_n > 1").groupBy(group).agg(
         F.max(F.when(F.col("_k") == 1, F.col("file_id"))).alias("keeper"), F.count("*").alias("files"), F.sum("size").alias("total"),
         F.sum(F.when(F.col("_k") > 1, F.col("size")).otherwise(0)).alias("savings"),

@@ -72,3 +72,47 @@ def setting(override: Column, tier: Column, fallback, low, high) -> Column:
     """The first of override, tier default and fallback; an override out of range does not count."""
     n = override.try_cast("double")
     return F.coalesce(F.when(n.between(low, high), n), tier.cast("double"), F.lit(float(fallback)))
+
+
+def queue_order(jobs: DataFrame) -> DataFrame:
+    """The whole queue with each job's place: ranks within a (priority, month of creation) plus what lies before, so that no task sorts all.
+
+    Only the counts of these cells, few rows, are summed in one task."""
+    cell = ["priority", F.date_trunc("month", "created").alias("month")]
+    rows = jobs.where("status = 'queued'").select("*", cell[1])
+    w = Window.orderBy("priority", "month").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("priority", "month").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).drop("n")
+    within = F.row_number().over(Window.partitionBy("priority", "month").orderBy("created", "id"))
+    return rows.withColumn("within", within).join(before, ["priority", "month"]).withColumn("place", (F.col("before") + F.col("within")).cast("long")).drop("within", "before", "month")
+
+
+def submit(jobs: DataFrame, requests: DataFrame) -> DataFrame:
+    """``requests`` (type, ...) with answer: rejected where a job of the type is queued, running or stopping, else queued."""
+    busy = jobs.where(F.col("status").isin("queued", "running", "stopping")).select("type").distinct().withColumn("answer", F.lit("rejected"))
+    return requests.join(busy, "type", "left").withColumn("answer", F.coalesce("answer", F.lit("queued")))
+
+
+def transition(jobs: DataFrame, changes: DataFrame) -> DataFrame:
+    """``jobs`` (id, status, started, completed, error) after ``changes`` (id, action, at, message), one for a job at most: start,
+    complete, fail with a message, cancel, or stop; jobs without a change stay."""
+    j = jobs.join(changes.select("id", "action", "at", "message"), "id", "left")
+    status = F.coalesce(F.create_map(*(F.lit(x) for pair in (("start", "running"), ("complete", "completed"), ("fail", "failed"), ("cancel", "cancelled"), ("stop", "stopping")) for x in pair))[F.col("action")], F.col("status"))
+    ended = F.col("action").isin("complete", "fail", "cancel")
+    return j.select(
+        "id", status.alias("status"), F.when(F.col("action") == "start", F.col("at")).otherwise(F.col("started")).alias("started"),
+        F.when(ended, F.col("at")).otherwise(F.col("completed")).alias("completed"), F.when(F.col("action") == "fail", F.col("message")).otherwise(F.col("error")).alias("error"),
+    )
+
+
+def requeue_interrupted(jobs: DataFrame) -> DataFrame:
+    """``jobs`` after a restart: running and stopping ones are queued again, without times and progress."""
+    cut = F.col("status").isin("running", "stopping")
+    blank = {c: F.when(~cut, F.col(c)) for c in ("started", "completed", "items_total") if c in jobs.columns}
+    if "items_processed" in jobs.columns:
+        blank["items_processed"] = F.when(cut, 0).otherwise(F.col("items_processed"))
+    return jobs.withColumns(blank | {"status": F.when(cut, "queued").otherwise(F.col("status"))})
+
+
+def purge_terminal(jobs: DataFrame) -> DataFrame:
+    """``jobs`` without those that completed, failed or were cancelled."""
+    return jobs.where(~F.col("status").isin("completed", "failed", "cancelled"))

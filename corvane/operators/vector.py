@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.runtime import ship
 
-QUERY_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -49,52 +49,41 @@ def average_with_flip(v: Column, flipped: Column) -> Column:
 def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """(query_id, cand_id, distance, rank): the exact k nearest of ``index`` (id, vec) for each of ``queries`` (id, vec).
 
-    The queries go to all tasks in blocks whose size is bounded; each task keeps its part's k best for a query,
-    and a window with a group limit merges them. More queries mean more blocks, never a cross join.
+    Both are dealt to blocks of bounded size by a hash of their ids, and each block of queries meets each block of the index in a task of its
+    own, which keeps a query's k best; a window with a group limit merges them. Nothing passes through the driver but counts.
     """
     ship(queries.sparkSession)
-    rows = queries.where("vec is not null").select("id", "vec").orderBy("id")
-    width = rows.select(F.max(F.size("vec"))).first()[0] or 1
-    n = rows.count()
-    step = max(1, QUERY_BYTES // (8 * width))
-    found = None
-    numbered = rows.withColumn("_n", F.row_number().over(Window.orderBy("id")) - 1) if n > step else rows.withColumn("_n", F.lit(0))
-    for lo in range(0, max(n, 1), step):
-        block = numbered.where((F.col("_n") >= lo) & (F.col("_n") < lo + step)) if n > step else rows
-        part = block.select("id", "vec").toPandas()
-        qid = part["id"].to_numpy(dtype=np.int64)
-        q = np.array([np.asarray(v, np.float64) for v in part["vec"]]).reshape(len(qid), -1)
-        one = _scan(index, qid, q, k)
-        found = one if found is None else found.unionByName(one)
+    sizes = [df.where("vec is not null").agg(F.count("*"), F.max(F.size("vec"))).first() for df in (queries, index)]
+    room = [max(1, BLOCK_BYTES // (8 * (w or 1))) for _, w in sizes]
+    q_blocks = -(-sizes[0][0] // room[0]) or 1
+    x_blocks = max(-(-sizes[1][0] // room[1]), -(-queries.sparkSession.sparkContext.defaultParallelism // q_blocks))
+
+    def dealt(df: DataFrame, mine: int, others: int, names: tuple[str, str]) -> DataFrame:
+        rows = df.where("vec is not null").select("id", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(mine)).cast("int").alias(names[0]))
+        return rows.withColumn(names[1], F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(x):
+            return pd.DataFrame({"query_id": [], "cand_id": [], "distance": []})
+        qid, ids = q["id"].to_numpy(), x["id"].to_numpy()
+        a, b = np.stack(q["vec"].to_list()), np.stack(x["vec"].to_list())
+        a_norm, b_norm = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
+        best: list[pd.DataFrame] = []
+        for lo in range(0, len(ids), 4096):
+            some = ids[lo : lo + 4096]
+            norms = a_norm[:, None] * b_norm[lo : lo + 4096][None, :]
+            d = np.where(norms == 0, 1.0, 1 - (a @ b[lo : lo + 4096].T) / np.where(norms == 0, 1, norms))
+            order = np.lexsort((np.broadcast_to(some, d.shape), d), axis=1)[:, :k]
+            best.append(pd.DataFrame({"query_id": np.repeat(qid, order.shape[1]), "cand_id": some[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()}))
+        return _top(best, k)
+
+    left = dealt(queries, q_blocks, x_blocks, ("qb", "xb")).groupBy("qb", "xb")
+    right = dealt(index, x_blocks, q_blocks, ("xb", "qb")).groupBy("qb", "xb")
+    found = left.cogroup(right).applyInPandas(run, "query_id long, cand_id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "cand_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _scan(index: DataFrame, qid: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
-    sent = index.sparkSession.sparkContext.broadcast((qid, q))
-
-    def run(batches):
-        qid, q = sent.value
-        best: list[pd.DataFrame] = []
-        qn = np.sqrt((q * q).sum(1))
-        for pdf in batches:
-            pdf = pdf[pdf["vec"].notna()]
-            if not len(pdf) or not len(qid):
-                continue
-            ids = pdf["id"].to_numpy()
-            x = np.array([np.asarray(v, np.float64) for v in pdf["vec"]])
-            norms = qn[:, None] * np.sqrt((x * x).sum(1))[None, :]
-            d = np.where(norms == 0, 1.0, 1 - (q @ x.T) / np.where(norms == 0, 1, norms))
-            order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-            best.append(pd.DataFrame({"query_id": np.repeat(qid, order.shape[1]), "cand_id": ids[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()}))
-            if len(best) > 8:
-                best = [_top(best, k)]
-        if best:
-            yield _top(best, k)
-
-    return index.select("id", "vec").mapInPandas(run, "query_id long, cand_id long, distance double")
-
-
 def _top(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
     return pd.concat(parts).sort_values(["query_id", "distance", "cand_id"]).groupby("query_id", sort=False).head(k)
 

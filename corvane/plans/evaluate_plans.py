@@ -200,13 +200,13 @@ def k04(spark, sf):
 _IMG = "(SELECT l_orderkey AS id, l_linenumber AS line, 320.0::DOUBLE + l_partkey % 640 AS iw, 240.0::DOUBLE + l_suppkey % 480 AS ih, l_quantity AS q FROM lineitem)"
 
 
-@query("k05_k07_letterbox", f"""SELECT id, line, q, round(greatest(0, least(iw, (320 - q - px) / r)) / iw, 6) AS x1, round(greatest(0, least(ih, (320 + q - py) / r)) / ih, 6) AS y2 FROM (
+@query("k05_k07_letterbox", f"""SELECT id, line, q, round(greatest(0, least(iw, (320 - q - px) / r)) / iw, 12) AS x1, round(greatest(0, least(ih, (320 + q - py) / r)) / ih, 12) AS y2 FROM (
   SELECT *, (640 - round(iw * r)) / 2 AS px, (640 - round(ih * r)) / 2 AS py FROM (SELECT *, least(640 / ih, 640 / iw) AS r FROM {_IMG})) WHERE q / 50 * 0.8 >= 0.25""")
 def k05(spark, sf):
     i = table(spark, sf, "lineitem").selectExpr("l_orderkey as id", "l_linenumber as line", "320.0D + l_partkey % 640 as iw", "240.0D + l_suppkey % 480 as ih", "l_quantity as q")
     r, px, py = K.letterbox(F.col("iw"), F.col("ih"), 640)
     c = K.unletterbox(F.lit(320.0), F.lit(320.0), F.col("q") * 2, F.col("q") * 2, r, px, py, F.col("iw"), F.col("ih"))
-    return i.where("q / 50 * 0.8D >= 0.25D").select("id", "line", "q", F.round(c[0], 6).alias("x1"), F.round(c[3], 6).alias("y2"))
+    return i.where("q / 50 * 0.8D >= 0.25D").select("id", "line", "q", F.round(c[0], 12).alias("x1"), F.round(c[3], 12).alias("y2"))
 
 
 @query("k06_location_hint", """SELECT l_orderkey AS id, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp, CASE WHEN h IS NULL THEN v WHEN v = 'torso' THEN concat(h, ' side') ELSE concat(h, ' ', v) END AS hint FROM (
@@ -217,10 +217,19 @@ def k06(spark, sf):
     return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), hint.alias("hint"))
 
 
-@query("k08_v28_pose_ratios", "SELECT vec_id AS id, round(CASE WHEN w > 0 THEN s / w ELSE 0 END, 6) AS shoulder_hip FROM (SELECT vec_id, sqrt((e[1] - e[3]) ** 2 + (e[2] - e[4]) ** 2) AS s, sqrt((e[5] - e[7]) ** 2 + (e[6] - e[8]) ** 2) AS w FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)) ")
+@query("k08_v28_pose_ratios", """WITH p AS (SELECT vec_id AS id, e, list_transform(e[19:27], lambda v: least(1.0::DOUBLE, 0.29::DOUBLE + abs(v) * 10)) AS vis FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)),
+m AS (SELECT *, (e[1] + e[3]) / 2 AS sx, (e[2] + e[4]) / 2 AS sy, (e[5] + e[7]) / 2 AS hx, (e[6] + e[8]) / 2 AS hy, (e[9] + e[11]) / 2 AS ax, (e[10] + e[12]) / 2 AS ay FROM p WHERE list_min(vis) >= 0.3),
+d AS (SELECT id, vis, sqrt((e[1] - e[3]) ** 2 + (e[2] - e[4]) ** 2) AS s, sqrt((e[5] - e[7]) ** 2 + (e[6] - e[8]) ** 2) AS h, sqrt((sx - hx) ** 2 + (sy - hy) ** 2) AS torso, sqrt((hx - ax) ** 2 + (hy - ay) ** 2) AS leg,
+  sqrt((e[13] - e[15]) ** 2 + (e[14] - e[16]) ** 2) AS arms, sqrt((e[17] - ax) ** 2 + (e[18] - ay) ** 2) AS height FROM m)
+SELECT id, round(CASE WHEN h > 0 THEN s / h ELSE 0 END, 6) AS shoulder_hip, round(CASE WHEN torso > 0 THEN leg / torso ELSE 0 END, 6) AS leg_torso, round(CASE WHEN height > 0 THEN arms / height ELSE 0 END, 6) AS span_height, round(list_sum(vis) / 9, 6) AS confidence FROM d""")
 def k08(spark, sf):
     v = lambda k: F.get("embedding", F.lit(k)).cast("double")
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.round(K.ratio(K.span(v(0), v(1), v(2), v(3)), K.span(v(4), v(5), v(6), v(7))), 6).alias("shoulder_hip"))
+    names = ["left_shoulder", "right_shoulder", "left_hip", "right_hip", "left_ankle", "right_ankle", "left_wrist", "right_wrist", "nose"]
+    seen = F.array(*(F.least(F.lit(1.0), 0.29 + F.abs(v(18 + k)) * 10) for k in range(9)))
+    marks = {n: (v(2 * k), v(2 * k + 1)) for k, n in enumerate(names)}
+    told = {n: F.round(c, 6).alias(n) for n, c in K.pose_ratios(marks).items()}
+    total = F.aggregate(seen, F.lit(0.0), lambda a, x: a + x)
+    return table(spark, sf, "embeddings").where(F.array_min(seen) >= 0.3).select(F.col("vec_id").alias("id"), *told.values(), F.round(total / 9, 6).alias("confidence"))
 
 
 @query("k09_padded_crop", "SELECT l_orderkey AS id, l_linenumber AS line, l_partkey AS part, CAST(greatest(0, floor(x - 2)) AS BIGINT) AS left, CAST(least(100, floor(x + 20 + 2)) AS BIGINT) AS right FROM (SELECT *, l_partkey % 90 AS x FROM lineitem)")

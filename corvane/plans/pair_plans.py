@@ -239,7 +239,7 @@ def files(spark, sf):
     return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").alias("file_id"), F.expr("cast(round(l_extendedprice * 1000) as bigint)").alias("size"), q.alias("quality"))
 
 
-@query("b16_multi_file_keepers", f"""WITH f AS ({_FILES}), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY quality DESC, file_id) AS k, count(*) OVER (PARTITION BY item_id) AS n FROM f)
+@query("b16_multi_file_keepers", f"""WITH f AS ({_FILES}), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY quality DESC, file_id, size DESC) AS k, count(*) OVER (PARTITION BY item_id) AS n FROM f)
 SELECT item_id, max(CASE WHEN k = 1 THEN file_id END) AS keeper, count(*) AS files, CAST(sum(size) AS BIGINT) AS total, CAST(sum(CASE WHEN k > 1 THEN size ELSE 0 END) AS BIGINT) AS savings FROM r WHERE n > 1 GROUP BY item_id""")
 def b16(spark, sf):
     return P.keepers(files(spark, sf), "item_id")

@@ -156,10 +156,41 @@ def jobs(spark, sf):
     return o.select(F.col("o_orderkey").alias("id"), resource.alias("resource"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), F.col("o_orderdate").alias("created"), status.alias("status"))
 
 
-@query("m12_submit_jobs", with_ctes("jobs", tail="SELECT resource, priority, CASE WHEN bool_or(status IN ('queued', 'running')) THEN 'rejected' ELSE 'queued' END AS answer FROM jobs GROUP BY ALL"))
+CTES["typed_jobs"] = (
+    (),
+    """SELECT o_orderkey AS id, o_custkey AS type, ['queued', 'running', 'stopping', 'completed', 'failed', 'cancelled', 'completed', 'completed'][o_orderkey % 8 + 1] AS status,
+  CASE WHEN o_orderkey % 8 > 0 THEN o_orderdate END AS started, CASE WHEN o_orderkey % 8 > 2 THEN o_orderdate END AS completed, CASE WHEN o_orderkey % 8 = 4 THEN 'old' END AS error, o_orderkey % 100 AS items_processed, 100 AS items_total FROM orders""",
+)
+_ACTIONS = "CASE WHEN o_orderkey % 3 = 0 THEN ['start', 'complete', 'fail', 'cancel', 'stop'][o_orderkey // 8 % 5 + 1] END"
+
+
+def typed_jobs(spark, sf):
+    o, n = table(spark, sf, "orders"), F.col("o_orderkey") % 8
+    status = F.element_at(F.array(*map(F.lit, ("queued", "running", "stopping", "completed", "failed", "cancelled", "completed", "completed"))), (n + 1).cast("int"))
+    return o.select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("type"), status.alias("status"), F.when(n > 0, F.col("o_orderdate")).alias("started"), F.when(n > 2, F.col("o_orderdate")).alias("completed"),
+        F.when(n == 4, "old").alias("error"), (F.col("o_orderkey") % 100).alias("items_processed"), F.lit(100).alias("items_total"),
+    )
+
+
+@query("m12_submit_jobs", with_ctes("typed_jobs", tail="SELECT c_custkey AS type, CASE WHEN EXISTS (SELECT 1 FROM typed_jobs j WHERE j.type = c_custkey AND status IN ('queued', 'running', 'stopping')) THEN 'rejected' ELSE 'queued' END AS answer FROM customer"))
 def m12(spark, sf):
-    busy = F.bool_or(F.col("status").isin("queued", "running"))
-    return jobs(spark, sf).groupBy("resource", "priority").agg(F.when(busy, "rejected").otherwise("queued").alias("answer"))
+    return S.submit(typed_jobs(spark, sf), table(spark, sf, "customer").select(F.col("c_custkey").alias("type"))).select("type", "answer")
+
+
+@query("m12_transitions", with_ctes("typed_jobs", tail=f"""SELECT id, CASE action WHEN 'start' THEN 'running' WHEN 'complete' THEN 'completed' WHEN 'fail' THEN 'failed' WHEN 'cancel' THEN 'cancelled' WHEN 'stop' THEN 'stopping' ELSE status END AS status,
+  CASE WHEN action = 'start' THEN at ELSE started END AS started, CASE WHEN action IN ('complete', 'fail', 'cancel') THEN at ELSE completed END AS completed, CASE WHEN action = 'fail' THEN 'new' ELSE error END AS error
+FROM typed_jobs JOIN (SELECT o_orderkey AS id, {_ACTIONS} AS action, o_orderdate + INTERVAL 1 DAY AS at FROM orders) USING (id)"""))
+def m12_transitions(spark, sf):
+    action = F.element_at(F.array(*map(F.lit, ("start", "complete", "fail", "cancel", "stop"))), (F.pmod(F.floor(F.col("o_orderkey") / 8), F.lit(5)) + 1).cast("int"))
+    changes = table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), action.alias("action"), F.expr("o_orderdate + interval 1 day").alias("at"), F.lit("new").alias("message"))
+    return S.transition(typed_jobs(spark, sf), changes)
+
+
+@query("m12_requeue_and_purge", with_ctes("typed_jobs", tail="""SELECT id, 'queued' AS status, CAST(NULL AS TIMESTAMP) AS started, CASE WHEN status = 'queued' THEN items_processed ELSE 0 END AS items_processed, CASE WHEN status = 'queued' THEN items_total END AS items_total
+FROM typed_jobs WHERE status IN ('queued', 'running', 'stopping')"""))
+def m12_requeue(spark, sf):
+    return S.purge_terminal(S.requeue_interrupted(typed_jobs(spark, sf))).select("id", "status", "started", "items_processed", "items_total")
 
 
 @query("m13_schedules", "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 0 THEN o_orderdate ELSE o_orderdate + to_seconds(CAST(floor((o_orderkey % 7 + 0.5) * 3600) AS BIGINT)) END AS next_run FROM orders")
@@ -169,10 +200,9 @@ def m13(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(keep, F.col("o_orderdate")).otherwise(later).alias("next_run"))
 
 
-@query("w10_queue_order", with_ctes("jobs", tail="SELECT id, row_number() OVER (ORDER BY priority, created, id) AS place FROM jobs WHERE status = 'queued' ORDER BY priority, created, id LIMIT 100"))
+@query("w10_queue_order", with_ctes("jobs", tail="SELECT id, row_number() OVER (ORDER BY priority, created, id) AS place FROM jobs WHERE status = 'queued'"))
 def w10(spark, sf):
-    top = jobs(spark, sf).where("status = 'queued'").orderBy("priority", "created", "id").limit(100)
-    return top.select("id", F.row_number().over(Window.orderBy("priority", "created", "id")).alias("place"))
+    return S.queue_order(jobs(spark, sf)).select("id", "place")
 
 
 @query("w11_dispatch", with_ctes("jobs", tail=f"""SELECT id, resource FROM (SELECT *, row_number() OVER (PARTITION BY resource ORDER BY priority, created, id) AS k FROM jobs WHERE status = 'queued')

@@ -38,7 +38,7 @@ def test_query_blocks_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(1)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((60, 4)))], "id long, vec array<double>")
     whole = V.nearest(df, df, 3).orderBy("query_id", "rank").collect()
-    monkeypatch.setattr(V, "QUERY_BYTES", 8 * 4 * 25)
+    monkeypatch.setattr(V, "BLOCK_BYTES", 8 * 4 * 25)
     assert V.nearest(df, df, 3).orderBy("query_id", "rank").collect() == whole
 
 
