@@ -179,8 +179,8 @@ def m12(spark, sf):
 
 
 @query("m12_transitions", with_ctes("typed_jobs", tail=f"""SELECT id, CASE action WHEN 'start' THEN 'running' WHEN 'complete' THEN 'completed' WHEN 'fail' THEN 'failed' WHEN 'cancel' THEN 'cancelled' WHEN 'stop' THEN 'stopping' ELSE status END AS status,
-  CASE WHEN action = 'start' THEN at ELSE started END AS started, CASE WHEN action IN ('complete', 'fail', 'cancel') THEN at ELSE completed END AS completed, CASE WHEN action = 'fail' THEN 'new' ELSE error END AS error
-FROM typed_jobs JOIN (SELECT o_orderkey AS id, {_ACTIONS} AS action, o_orderdate + INTERVAL 1 DAY AS at FROM orders) USING (id)"""))
+  CASE WHEN action = 'start' THEN moment ELSE started END AS started, CASE WHEN action IN ('complete', 'fail', 'cancel') THEN moment ELSE completed END AS completed, CASE WHEN action = 'fail' THEN 'new' ELSE error END AS error
+FROM typed_jobs JOIN (SELECT o_orderkey AS id, {_ACTIONS} AS action, o_orderdate + INTERVAL 1 DAY AS moment FROM orders) USING (id)"""))
 def m12_transitions(spark, sf):
     action = F.element_at(F.array(*map(F.lit, ("start", "complete", "fail", "cancel", "stop"))), (F.pmod(F.floor(F.col("o_orderkey") / 8), F.lit(5)) + 1).cast("int"))
     changes = table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), action.alias("action"), F.expr("o_orderdate + interval 1 day").alias("at"), F.lit("new").alias("message"))
