@@ -17,10 +17,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm import hot
 from corvane.llm.graph import components
 from corvane.runtime import discard, materialise, ship
 
-WIDTH, LEAST, ANCHORS, WORDS64, REFERENCES, BLOCK = 5, 0.8, 8, 4, 16, 512
+WIDTH, LEAST, ANCHORS, WORDS64, REFERENCES, BLOCK, BLOCK_BYTES = 5, 0.8, 8, 4, 16, 4096, 64 << 20
 #: Differing bits at most, for sets of FEW shingles or more, and for smaller ones, whose bits vary more.
 LIMIT, LIMIT_FEW, FEW = 72, 104, 64
 #: Members of groups are told to all tasks below this size, by a join beyond it.
@@ -86,13 +87,25 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(c) - both) if both else 0.0
 
 
-def _root(root: dict, k):
-    while root.setdefault(k, k) != k:
+def _root(root: np.ndarray, k: int) -> int:
+    while root[k] != k:
         root[k] = root[root[k]]
         k = root[k]
     return k
 
 
+def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``root`` (each row's least linked row) after the links (i, j)."""
+    while True:
+        least = np.minimum(root[i], root[j])
+        before = root.copy()
+        for at in (root[i], root[j], i, j):
+            np.minimum.at(root, at, least)
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
 def near_bits(fp: np.ndarray, pivots: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which of the pairs (i, j) the sizes, the pivot tables and the bits leave."""
     small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
@@ -104,7 +117,7 @@ def near_bits(fp: np.ndarray, pivots: np.ndarray, size: np.ndarray, i: np.ndarra
 
 
 def _pairs_of(group: np.ndarray, side: np.ndarray, home: np.ndarray, within: np.ndarray, fp: np.ndarray, size: np.ndarray):
-    """Surviving pairs (i, j) of rows that lie in one group, whose rows follow one another, a bounded number at once."""
+    """Surviving pairs (i, j), as two arrays, of rows that lie in one group, whose rows follow one another, a bounded number at once."""
     pivots = np.bitwise_count(fp[:, None, :] ^ _REFS[None]).sum(2).astype(np.int16)
     ends = np.flatnonzero(np.append(group[1:] != group[:-1], True)) + 1
     after = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(group)) - 1  # rows of the group after each
@@ -116,7 +129,7 @@ def _pairs_of(group: np.ndarray, side: np.ndarray, home: np.ndarray, within: np.
         ok = (home[i] | home[j]) & (within[i] | (side[i] != side[j]))
         i, j = i[ok], j[ok]
         ok = near_bits(fp, pivots, size, i, j)
-        yield from zip(i[ok].tolist(), j[ok].tolist())
+        yield i[ok], j[ok]
         lo = hi
 
 
@@ -131,7 +144,7 @@ def _work(exact: bool):
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= 8 * BLOCK:
+            if rows >= BLOCK:
                 held = yield from told(held, False)
                 rows = sum(b.num_rows for b in held)
         yield from told(held, True)
@@ -149,23 +162,31 @@ def _work(exact: bool):
             ids, own, home, size = (t.column(k).to_numpy()[:n] for k in (3, 4, 5, 6))
             fp = np.frombuffer(b"".join(t.column(7)[:n].to_pylist()), np.uint64).reshape(n, WORDS64)
             sets = [np.frombuffer(g, np.uint64) for g in t.column(8)[:n].to_pylist()] if exact else None
-            roots: dict = {}
-            out = []
+            root = np.arange(n)
             for i, j in _pairs_of(group[:n], own, home.astype(bool), (a == b)[:n], fp, size):
-                u, v = int(ids[i]), int(ids[j])
-                x, y = _root(roots, u), _root(roots, v)
-                if x != y and (not exact or overlap(sets[i], sets[j]) >= LEAST):
-                    roots[max(x, y)] = min(x, y)
-                    out.append((u, v))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+                if not exact:
+                    root = _joined(root, i, j)
+                    continue
+                for lo in range(0, len(i), 4096):
+                    root = _joined(root, np.zeros(0, np.int64), np.zeros(0, np.int64))
+                    apart = np.flatnonzero(root[i[lo : lo + 4096]] != root[j[lo : lo + 4096]]) + lo
+                    for x, y in zip(i[apart].tolist(), j[apart].tolist()):
+                        u, v = _root(root, x), _root(root, y)
+                        if u != v and overlap(sets[x], sets[y]) >= LEAST:
+                            root[max(u, v)] = min(u, v)
+            root = _joined(root, np.zeros(0, np.int64), np.zeros(0, np.int64))
+            linked = np.flatnonzero(root != np.arange(n))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[linked], pa.int64()), pa.array(ids[root[linked]], pa.int64())], names=["u", "v"])
         return t.slice(n).to_batches() if n < t.num_rows else []
 
     return run
 
 
 def _blocks(met: DataFrame, block: int, payload: list[str]) -> DataFrame:
-    """``met`` (key, size, rep, home, ...) dealt to pairs of blocks (a, b) of each key, sorted."""
-    chunks = F.ceil(F.col("size") / block).cast("int")
+    """``met`` (key, size, bytes, rep, home, ...) dealt to pairs of blocks (a, b) of each key, sorted.
+
+    Only keys of more than ``block`` rows, or BLOCK_BYTES, have several blocks."""
+    chunks = F.ceil(F.greatest(F.col("size") / block, F.col("bytes") / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("rep"), chunks).cast("int")
     dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "rep", "own", "home", *payload)
@@ -196,25 +217,26 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     ship(docs.sparkSession)
     rows = materialise(_sketches(docs), "sketches")
-    classes = materialise(rows.groupBy("same").agg(F.min("row").alias("rep"), F.min_by(F.struct("n", "fp", "anchors", "text_hash"), "row").alias("x")).select("same", "rep", "x.*"), "classes")
+    classes = materialise(rows.groupBy("same").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.min_by(F.struct("n", "fp", "anchors", "text_hash"), "row").alias("x")).select("same", "rep", "copies", "x.*"), "classes")
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / LEAST)) + 1e-9)
     each = classes.where("n > 0").select("rep", "n", "fp", size_class.alias("size_class"), F.explode("anchors").alias("anchor"))
     each = each.select("rep", "n", "fp", "size_class", "anchor", F.explode(F.array(F.lit(0), F.lit(1))).alias("call"))
     each = each.select("rep", "n", "fp", F.xxhash64("anchor", F.col("size_class") + F.col("call")).alias("key"), (F.col("call") == 0).alias("home"))
     full = each.groupBy("key").agg(F.count("*").alias("size"), F.max("home").alias("any")).where("size > 1 and any").select("key", "size")
-    near = materialise(_blocks(each.join(full, "key"), block, ["n", "fp"]).mapInArrow(_work(False), "u long, v long"), "near-bits")
+    near = materialise(_blocks(each.join(full, "key").withColumn("bytes", F.col("size") * 32), block, ["n", "fp"]).mapInArrow(_work(False), "u long, v long"), "near-bits")
     groups = materialise(components(near).select(F.col("u").alias("rep"), F.col("component").alias("key")), "groups")
     members = materialise(classes.join(groups, "rep").select("same", "text_hash", "rep", "key", "n", "fp"), "members")
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.col("n") * 8).alias("bytes"))
     grams = _shingles_of(docs, members.select("text_hash").distinct()).groupBy("same").agg(F.first("grams").alias("grams"))
     full = members.join(sizes, "key").withColumn("home", F.lit(True)).join(grams, "same")
     links = materialise(_blocks(full, block, ["n", "fp", "grams"]).mapInArrow(_work(True), "u long, v long"), "text-links")
     comp = components(links)
-    root = materialise(classes.select("same", "rep").join(comp.withColumnRenamed("u", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component")), "roots")
-    named = materialise(rows.select("doc_id", "text_hash", "same").join(root, "same").select("doc_id", "text_hash", "component"), "named")
+    root = materialise(classes.select("same", "rep", "copies").join(comp.withColumnRenamed("u", "rep"), "rep", "left").select("same", "copies", F.coalesce("component", "rep").alias("component")), "roots")
+    total = rows.count()
+    named = materialise(hot.join(rows.select("doc_id", "text_hash", "same"), root, "same", "copies", total).select("doc_id", "text_hash", "component"), "named")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    firsts = named.groupBy("component").agg(first).select("component", "first.doc_id", "first.text_hash").toDF("component", "component_id", "first_hash")
-    out = named.join(firsts, "component")
+    firsts = named.groupBy("component").agg(first, F.count("*").alias("m")).select("component", "first.doc_id", "first.text_hash", "m").toDF("component", "component_id", "first_hash", "m")
+    out = hot.join(named, materialise(firsts, "firsts"), "component", "m", total)
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))
     discard(near, members)
     return out.select("doc_id", "text_hash", "component_id", kept.alias("kept"))
