@@ -5,7 +5,10 @@ shingle hash under each of several orders, which two texts of similarity s share
 classes of size: a text is filed under its own class and also calls at the next one. In
 blocks of bounded size their Hamming distances to reference fingerprints are compared, pairs whose tables differ by more than the
 limit in any coordinate are discarded, and survivors are verified by their bits. Texts so connected form groups; only their shingles
-are made again, moved once to their group, and compared exactly. A block gives back a spanning set of links, never its pairs.
+are made again, moved to their group, and compared exactly. A block gives back a spanning set of links, never its pairs.
+
+Rows of one key first meet in small chunks, each with the same pivot row of the key, so that a large group of near copies is linked
+in work proportional to its rows. Only rows that this leaves apart from the pivot meet all others of the key, block against block.
 """
 
 from __future__ import annotations
@@ -14,14 +17,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import hot
 from corvane.llm.graph import components
 from corvane.runtime import discard, materialise, ship
 
-WIDTH, LEAST, ANCHORS, WORDS64, REFERENCES, BLOCK, BLOCK_BYTES = 5, 0.8, 8, 4, 16, 4096, 64 << 20
+WIDTH, LEAST, ANCHORS, WORDS64, REFERENCES, CHUNK, BLOCK, BLOCK_BYTES = 5, 0.8, 8, 4, 16, 128, 1024, 64 << 20
+#: Sides of rows in a block: a key's pivot; rows apart from it against rows that are linked to it.
+PIVOT, APART, REST = -3, -2, -1
 #: Differing bits at most, for sets of FEW shingles or more, and for smaller ones, whose bits vary more.
 LIMIT, LIMIT_FEW, FEW = 72, 104, 64
 #: Members of groups are told to all tasks below this size, by a join beyond it.
@@ -134,7 +139,8 @@ def _pairs_of(group: np.ndarray, side: np.ndarray, home: np.ndarray, within: np.
 
 
 def _work(exact: bool):
-    """Links (u, v) that span what is linked in each group of rows with equal (key, a, b), which follow one another.
+    """Links (u, v) that span what is linked in each group of rows with equal (key, a, b), which follow one another, and rows (u, u, key, apart)
+    that are not linked with the group's pivot, if it has one.
 
     Columns: key, a, b, rep, own, home, n, fp and, if ``exact``, grams. A group has 2 x BLOCK rows or so at most.
     """
@@ -175,22 +181,54 @@ def _work(exact: bool):
                         if u != v and overlap(sets[x], sets[y]) >= LEAST:
                             root[max(u, v)] = min(u, v)
             root = _joined(root, np.zeros(0, np.int64), np.zeros(0, np.int64))
-            linked = np.flatnonzero(root != np.arange(n))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[linked], pa.int64()), pa.array(ids[root[linked]], pa.int64())], names=["u", "v"])
+            pivot = np.full(group[n - 1] + 1, -1)
+            pivot[group[:n][own == PIVOT]] = np.flatnonzero(own == PIVOT)
+            pivot = pivot[group[:n]]
+            apart = (pivot >= 0) & (root != root[pivot])
+            rest = np.flatnonzero(apart | (root != np.arange(n)))
+            cols = [pa.array(x[rest], pa.int64()) for x in (ids, ids[root], key[:n])]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(apart[rest])], names=["u", "v", "key", "apart"])
         return t.slice(n).to_batches() if n < t.num_rows else []
 
     return run
 
 
-def _blocks(met: DataFrame, block: int, payload: list[str]) -> DataFrame:
-    """``met`` (key, size, bytes, rep, home, ...) dealt to pairs of blocks (a, b) of each key, sorted.
-
-    Only keys of more than ``block`` rows, or BLOCK_BYTES, have several blocks."""
-    chunks = F.ceil(F.greatest(F.col("size") / block, F.col("bytes") / BLOCK_BYTES)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), chunks).cast("int")
-    dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "rep", "own", "home", *payload)
-    return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+def _parts(rows: Column, limit: int) -> Column:
+    """In how many parts ``rows`` of a key's ``size`` rows are dealt, such that each has ``limit`` rows, or BLOCK_BYTES, at most or so."""
+    share = F.col("bytes") * (rows / F.col("size")) / BLOCK_BYTES
+    return F.greatest(F.lit(1), F.ceil(F.greatest(rows / limit, share)).cast("int"))
+
+
+def _links(met: DataFrame, exact: bool, chunk: int, block: int, name: str, again=None) -> DataFrame:
+    """Links (u, v) that span what is linked among the rows ``met`` (key, size, bytes, pivot, rep, home, n, fp, ...) of each key.
+
+    ``again`` gives the rows of some keys a second time, from a frame of these keys (else they are looked up in ``met``)."""
+    payload = ["rep", "own", "home", "n", "fp"] + ["grams"] * exact
+
+    def worked(dealt: DataFrame, to: str) -> DataFrame:
+        sorted_rows = dealt.select("key", "a", "b", *payload).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+        return materialise(sorted_rows.mapInArrow(_work(exact), "u long, v long, key long, apart boolean"), to)
+
+    parts, is_pivot = F.col("parts"), F.col("rep") == F.col("pivot")
+    own = F.pmod(F.xxhash64("rep"), parts).cast("int")
+    dealt = met.withColumn("parts", _parts(F.col("size"), chunk))
+    dealt = dealt.withColumn("b", F.explode(F.when(is_pivot, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own)))).withColumn("a", F.col("b"))
+    first = worked(dealt.withColumn("own", F.when(is_pivot & (parts > 1), PIVOT).otherwise(0)), name)
+    apart = first.where("apart").select("key", F.col("u").alias("rep"), "apart")
+    if apart.isEmpty():
+        return first.select("u", "v")
+    keys = apart.groupBy("key").agg(F.count("*").alias("n_apart"))
+    rows = (again(keys.select("key")) if again else met).join(keys, "key").join(apart, ["key", "rep"], "left")
+    rows = rows.withColumn("us", _parts(F.col("n_apart"), block)).withColumn("them", _parts(F.col("size") - F.col("n_apart"), block))
+    # Rows apart meet each other in blocks a <= b, and the rest in blocks with a < 0, which are of two sides.
+    at = F.pmod(F.xxhash64("rep", F.lit(1)), F.when(F.col("apart"), F.col("us")).otherwise(F.col("them"))).cast("int")
+    place = lambda a, b, side: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), side.cast("int").alias("own"))
+    others = F.transform(F.sequence(F.lit(0), F.col("us") - 1), lambda x: place(F.least(F.col("at"), x), F.greatest(F.col("at"), x), F.col("at")))
+    against = F.transform(F.sequence(F.lit(0), F.col("them") - 1), lambda y: place(-1 - F.col("at"), y, F.lit(APART)))
+    rest = F.transform(F.sequence(F.lit(0), F.col("us") - 1), lambda x: place(-1 - x, F.col("at"), F.lit(REST)))
+    placed = rows.withColumn("at", at).withColumn("place", F.explode(F.when(F.col("apart"), F.concat(others, against)).otherwise(rest)))
+    second = worked(placed.select("key", "place.a", "place.b", "place.own", *(c for c in payload if c != "own")), f"{name}-apart")
+    return first.select("u", "v").union(second.select("u", "v"))
 
 
 def _shingles_of(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -207,7 +245,7 @@ def _shingles_of(docs: DataFrame, members: DataFrame) -> DataFrame:
     return some.mapInArrow(run, "text_hash long, same binary, grams binary")
 
 
-def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, text_hash, component_id, kept) for each row: the smallest id among rows linked, directly or through others.
 
     Texts link whose shingle sets are equal or overlap by 0.8 or more; texts without words link with each other. Anchors
@@ -222,14 +260,17 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     each = classes.where("n > 0").select("rep", "n", "fp", size_class.alias("size_class"), F.explode("anchors").alias("anchor"))
     each = each.select("rep", "n", "fp", "size_class", "anchor", F.explode(F.array(F.lit(0), F.lit(1))).alias("call"))
     each = each.select("rep", "n", "fp", F.xxhash64("anchor", F.col("size_class") + F.col("call")).alias("key"), (F.col("call") == 0).alias("home"))
-    full = each.groupBy("key").agg(F.count("*").alias("size"), F.max("home").alias("any")).where("size > 1 and any").select("key", "size")
-    near = materialise(_blocks(each.join(full, "key").withColumn("bytes", F.col("size") * 32), block, ["n", "fp"]).mapInArrow(_work(False), "u long, v long"), "near-bits")
+    full = each.groupBy("key").agg(F.count("*").alias("size"), F.min(F.when(F.col("home"), F.col("rep"))).alias("pivot")).where("size > 1 and pivot is not null")
+    near = _links(each.join(full, "key").withColumn("bytes", F.col("size") * 32), False, chunk, block, "near-bits")
     groups = materialise(components(near).select(F.col("u").alias("rep"), F.col("component").alias("key")), "groups")
     members = materialise(classes.join(groups, "rep").select("same", "text_hash", "rep", "key", "n", "fp"), "members")
     sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.col("n") * 8).alias("bytes"))
-    grams = _shingles_of(docs, members.select("text_hash").distinct()).groupBy("same").agg(F.first("grams").alias("grams"))
-    full = members.join(sizes, "key").withColumn("home", F.lit(True)).join(grams, "same")
-    links = materialise(_blocks(full, block, ["n", "fp", "grams"]).mapInArrow(_work(True), "u long, v long"), "text-links")
+
+    def with_shingles(some: DataFrame) -> DataFrame:
+        grams = _shingles_of(docs, some.select("text_hash").distinct()).groupBy("same").agg(F.first("grams").alias("grams"))
+        return some.join(sizes, "key").withColumns({"home": F.lit(True), "pivot": F.col("key")}).join(grams, "same")
+
+    links = _links(with_shingles(members), True, chunk, block, "text-links", lambda keys: with_shingles(members.join(keys, "key", "left_semi")))
     comp = components(links)
     root = materialise(classes.select("same", "rep", "copies").join(comp.withColumnRenamed("u", "rep"), "rep", "left").select("same", "copies", F.coalesce("component", "rep").alias("component")), "roots")
     total = rows.count()
@@ -238,5 +279,5 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     firsts = named.groupBy("component").agg(first, F.count("*").alias("m")).select("component", "first.doc_id", "first.text_hash", "m").toDF("component", "component_id", "first_hash", "m")
     out = hot.join(named, materialise(firsts, "firsts"), "component", "m", total)
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash"))
-    discard(near, members)
+    discard(members)
     return out.select("doc_id", "text_hash", "component_id", kept.alias("kept"))
