@@ -141,14 +141,30 @@ def test_near_texts(spark, odd):
     edited = [[*b[:100], "x", *b[101:]] for b in base]
     far = [[("y" if k % 6 == 0 else w) for k, w in enumerate(b)] for b in base]
     docs = docs_of(spark, list(enumerate([" ".join(b) for b in base + edited + far] + [" ".join(base[0])])))
-    for block in (256, 3):
-        got = {r.doc_id: r.component_id for r in neartext.near_duplicates(docs, block).collect()}
+    for block, chunk in ((256, 256), (3, 2)):
+        got = {r.doc_id: r.component_id for r in neartext.near_duplicates(docs, block, chunk).collect()}
         assert got == {i: i % 20 if i < 40 else 0 if i == 60 else i for i in range(61)}
     kept = simhash.keep_one(odd, neartext.near_duplicates(odd))
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [1, 4, 5, 6, 8, 10]
     assert kept.columns == odd.columns
 
 
+def test_near_texts_apart_from_the_pivot(spark):
+    """Rows under one key in several groups: those that a chunk leaves apart from the pivot still meet each other and the rest."""
+    rng = random.Random(5)
+    rows, want = [], {}
+    for k in range(90):  # 9 groups in turn, each of 10 near vectors, under a single key
+        base = np.array([xxhash.xxh64_intdigest(f"{k % 9}.{j}", 1) for j in range(neartext.WORDS64)], np.uint64)
+        grams = np.unique(np.array([xxhash.xxh64_intdigest(f"{k % 9} {j}", 2) for j in range(100)] + [rng.getrandbits(64)], np.uint64))
+        rows.append((7, 90, 90 * 832, 0, k, True, len(grams), bytearray(base.tobytes()), bytearray(grams.tobytes())))
+        want[k] = k % 9
+    met = spark.createDataFrame(rows, "key long, size long, bytes long, pivot long, rep long, home boolean, n long, fp binary, grams binary")
+    for exact in (False, True):
+        for chunk, block in ((200, 200), (8, 16), (3, 5)):
+            links = neartext._links(met, exact, chunk, block, "test-links")
+            assert dict(map(tuple, graph.components(links).collect())) == want, (exact, chunk, block)
+
+
 def test_decontamination_edges(spark, odd):
     bench = spark.createDataFrame([(1, "One, two"), (2, "one TWO three four five six"), (3, None), (4, "école"), (None, "one"), (5, "")], "item_id long, text string")
     got = {(r.doc_id, r.n_hit): r["items"] for r in decontaminate.hits(odd, bench).collect()}
