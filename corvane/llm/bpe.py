@@ -61,7 +61,7 @@ class Forest:
         width = np.where(lengths > 1, 2 ** np.ceil(np.log2(np.maximum(lengths, 2))).astype(np.int64), 1)
         for w in np.unique(width[width > 1]):
             mine = np.flatnonzero(width == w)
-            for some in np.array_split(mine, max(1, len(mine) * int(w) // 2**20)):
+            for some in np.array_split(mine, max(1, len(mine) * int(w) // 2**18)):
                 self._merge_class(out, starts[some], lengths[some], int(w))
         alive = out >= 0
         ends = np.concatenate([[0], np.cumsum(alive)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, decontaminate, lattice, mixmodel, mixture, quality, secretscan, shards, simhash, tokencount, warc
+from corvane.llm import bpe, decontaminate, lattice, mixmodel, mixture, prefixtrie, quality, repair, secretscan, shards, simhash, tokencount, warc
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_warc": warc.query,
     "op9_simhash": simhash.query,
     "op10_secrets": secretscan.query,
+    "op11_prefix_trie": prefixtrie.query,
+    "op12_repair": repair.query,
     "op13_bpe": bpe.query,
 }
-ORACLE_SQL = {"op5_decontamination": decontaminate.ORACLE, "op6_lattice": lattice.ORACLE, "op8_warc": warc.ORACLE}
+ORACLE_SQL = {"op5_decontamination": decontaminate.ORACLE, "op6_lattice": lattice.ORACLE, "op8_warc": warc.ORACLE, "op11_prefix_trie": prefixtrie.ORACLE}
