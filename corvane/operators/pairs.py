@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+from corvane.operators.blocking import hamming, hamming_join, self_block  # noqa: F401
 
 
 def hash_of_hex(h: Column) -> Column:
@@ -17,42 +13,16 @@ def hash_of_hex(h: Column) -> Column:
     return F.when(h.rlike("^[0-9a-fA-F]{1,16}$"), F.conv(h, 16, -10).cast("long"))
 
 
-def self_block(rows: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ids that share ``keys``: an equi-join that AQE may split where a key is hot."""
-    r = rows.select(id_col, *keys).dropna().distinct()
-    left, right = r.withColumnRenamed(id_col, "a"), r.withColumnRenamed(id_col, "b")
-    return left.join(right, keys).where("a < b").select("a", "b").distinct()
-
-
-def hamming_join(hashes: DataFrame, limit: int = 10, bits: int = 64, width: int = 16) -> DataFrame:
-    """Pairs (a, b, distance) of (id, h) within ``limit`` bits, all of them.
-
-    ``bits`` are cut into bands of ``width``; a pair within the limit differs in limit // bands bits at most on one band at least. So
-    each hash is filed under its bands and calls at the values that near, and bands as wide hold few unrelated hashes. Equal
-    hashes are compared once, through their first id, and spread to the others at the end.
-    """
-    bands = max(1, bits // width)
-    edges = [round(k * bits / bands) for k in range(bands + 1)]
-    firsts = hashes.dropna().groupBy("h").agg(F.min("id").alias("rep"))
-    part = lambda k: F.shiftrightunsigned("h", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)).cast("int")
-    each = firsts.select("h", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), part(k).alias("v")) for k in range(bands)))).alias("key")).select("h", "key.*")
-    masks = [sum(1 << b for b in some) for r in range(limit // bands + 1) for some in combinations(range(-(-bits // bands)), r)]
-    calls = each.select("k", F.col("h").alias("hx"), F.explode(F.transform(F.lit(masks), lambda m: F.col("v").bitwiseXOR(m))).alias("v"))
-    near = calls.join(each.withColumnRenamed("h", "hy"), ["k", "v"]).where("hx < hy").where(hamming(F.col("hx"), F.col("hy")) <= limit).select("hx", "hy").distinct()
-    rows = hashes.dropna().distinct()
-    a, b = rows.select(F.col("id").alias("a"), F.col("h").alias("hx")), rows.select(F.col("id").alias("b"), F.col("h").alias("hy"))
-    apart = near.join(a, "hx").join(b, "hy").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), hamming(F.col("hx"), F.col("hy")).alias("distance"))
-    same = a.join(b, F.col("hx") == F.col("hy")).where("a < b").select("a", "b", F.lit(0).alias("distance"))
-    return apart.union(same)
-
-
 def first_source(*parts: tuple[str, DataFrame]) -> DataFrame:
-    """Union of candidates (a, b) in canonical order; the first source that has a pair names it."""
-    rows = None
+    """Union of candidates (a, b, ...) in canonical order; the first source that has a pair names it. Further columns, which some sources
+    have, keep their largest value."""
+    rows, more = None, []
     for order, (name, df) in enumerate(parts):
-        one = df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(order).alias("_o"), F.lit(name).alias("source"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.groupBy("a", "b").agg(F.min_by("source", "_o").alias("source"))
+        rest = [c for c in df.columns if c not in ("a", "b")]
+        more += [c for c in rest if c not in more]
+        one = df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(order).alias("_o"), F.lit(name).alias("source"), *rest)
+        rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
+    return rows.groupBy("a", "b").agg(F.min_by("source", "_o").alias("source"), *(F.max(c).alias(c) for c in more))
 
 
 def jaccard(a: Column, b: Column) -> Column:

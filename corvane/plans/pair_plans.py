@@ -102,8 +102,14 @@ def by_meta(spark, sf):
     return P.self_block(items(spark, sf).select("id", "group_id").join(item_entities(spark, sf), "id"), ["group_id", "entity"])
 
 
+def signals(spark, sf):
+    """(a, b, source, ext, distance) of all candidates: whether they share an external id, and how far apart their hashes are, if near."""
+    ext = by_ext(spark, sf).withColumn("ext", F.lit(True))
+    return P.first_source(("external id", ext), ("hash", by_hash(spark, sf)), ("metadata", by_meta(spark, sf)))
+
+
 def candidates(spark, sf):
-    return P.first_source(("external id", by_ext(spark, sf)), ("hash", by_hash(spark, sf)), ("metadata", by_meta(spark, sf)))
+    return signals(spark, sf).select("a", "b", "source")
 
 
 def prints(spark, sf):
@@ -130,10 +136,9 @@ def meta_scores(spark, sf, cand=None):
 
 
 def scored(spark, sf):
-    cand = materialise(candidates(spark, sf), "candidates")
-    m = meta_scores(spark, sf, cand).select("a", "b", "source", "meta")
+    cand = materialise(signals(spark, sf), "candidates")
     f = P.signature_scores(cand, prints(spark, sf)).select("a", "b", "face_score")
-    j = m.join(f, ["a", "b"], "left").join(by_hash(spark, sf), ["a", "b"], "left").join(by_ext(spark, sf).withColumn("ext", F.lit(True)), ["a", "b"], "left")
+    j = meta_scores(spark, sf, cand).join(f, ["a", "b"], "left")
     j = j.select("a", "b", "source", "meta", F.coalesce("face_score", F.lit(0.0)).alias("face"), "distance", P.hash_score(F.col("distance")).alias("p"), F.coalesce("ext", F.lit(False)).alias("ext"))
     return j.withColumn("confidence", P.pair_confidence(F.col("ext"), F.col("distance"), F.col("p"), F.col("face"), F.col("meta")))
 
