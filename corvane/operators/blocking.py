@@ -107,7 +107,7 @@ def bands(n: int, ones: list[int], limit: int, row_cost: float = 20.0) -> list[B
         filed = sum(ball(len(x.bits), (x.within + 1) // 2) + ball(len(x.bits), x.within // 2) for x in found)
         met = sum(min(1.0, ball(len(x.bits), x.within) / 2.0 ** sum(entropy[b] for b in x.bits)) * comb(x.within, x.within // 2) for x in found)
         cost = n * filed * row_cost + n * n * met / 2
-        if filed <= 100_000 and (best is None or cost < best[0]):
+        if filed <= 10_000 and (best is None or cost < best[0]):
             best = cost, found
     return best[1]
 

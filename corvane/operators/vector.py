@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators import knn
 from corvane.runtime import ship
 
 BLOCK_BYTES = 32 << 20
@@ -49,45 +48,29 @@ def average_with_flip(v: Column, flipped: Column) -> Column:
 def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """(query_id, cand_id, distance, rank): the exact k nearest of ``index`` (id, vec) for each of ``queries`` (id, vec).
 
-    Both are dealt to blocks of bounded size by a hash of their ids, and each block of queries meets each block of the index in a task of its
-    own, which keeps a query's k best; a window with a group limit merges them. Nothing passes through the driver but counts.
+    An index beyond one block is dealt to cells, of which a query meets those alone that may hold a neighbour (``knn``). A smaller one is dealt to the cores
+    by a hash of the ids, and each block of queries meets each of its parts. A window with a group limit merges what the tasks find.
     """
     ship(queries.sparkSession)
-    sizes = [df.where("vec is not null").agg(F.count("*"), F.max(F.size("vec"))).first() for df in (queries, index)]
-    room = [max(1, BLOCK_BYTES // (8 * (w or 1))) for _, w in sizes]
-    q_blocks = -(-sizes[0][0] // room[0]) or 1
-    x_blocks = max(-(-sizes[1][0] // room[1]), -(-queries.sparkSession.sparkContext.defaultParallelism // q_blocks))
-
-    def dealt(df: DataFrame, mine: int, others: int, names: tuple[str, str]) -> DataFrame:
-        rows = df.where("vec is not null").select("id", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(mine)).cast("int").alias(names[0]))
-        return rows.withColumn(names[1], F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-
-    def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(x):
-            return pd.DataFrame({"query_id": [], "cand_id": [], "distance": []})
-        qid, ids = q["id"].to_numpy(), x["id"].to_numpy()
-        a, b = np.stack(q["vec"].to_list()), np.stack(x["vec"].to_list())
-        a_norm, b_norm = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
-        best: list[pd.DataFrame] = []
-        for lo in range(0, len(ids), 4096):
-            some = ids[lo : lo + 4096]
-            norms = a_norm[:, None] * b_norm[lo : lo + 4096][None, :]
-            d = np.where(norms == 0, 1.0, 1 - (a @ b[lo : lo + 4096].T) / np.where(norms == 0, 1, norms))
-            order = np.lexsort((np.broadcast_to(some, d.shape), d), axis=1)[:, :k]
-            best.append(pd.DataFrame({"query_id": np.repeat(qid, order.shape[1]), "cand_id": some[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()}))
-        return _top(best, k)
-
-    left = dealt(queries, q_blocks, x_blocks, ("qb", "xb")).groupBy("qb", "xb")
-    right = dealt(index, x_blocks, q_blocks, ("xb", "qb")).groupBy("qb", "xb")
-    found = left.cogroup(right).applyInPandas(run, "query_id long, cand_id long, distance double")
+    q, x = (df.where("vec is not null").select("id", F.col("vec").cast("array<double>").alias("vec")) for df in (queries, index))
+    sizes = [df.agg(F.count("*"), F.max(F.size("vec"))).first() for df in (q, x)]
+    room = max(1, BLOCK_BYTES // (8 * (sizes[1][1] or 1)))
+    if sizes[1][0] > room:
+        found = knn.pruned(q, x, k, sizes[1][0], sizes[1][1], room)
+    else:
+        q_blocks = -(-sizes[0][0] // room) or 1
+        x_blocks = max(1, -(-queries.sparkSession.sparkContext.defaultParallelism // q_blocks))
+
+        def dealt(rows: DataFrame, mine: int, others: int, names: tuple[str, str]) -> DataFrame:
+            rows = rows.withColumn(names[0], F.pmod(F.xxhash64("id"), F.lit(mine)).cast("int"))
+            return rows.withColumn(names[1], F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).groupBy("qb", "xb")
+
+        both = dealt(q, q_blocks, x_blocks, ("qb", "xb")).cogroup(dealt(x, x_blocks, q_blocks, ("xb", "qb")))
+        found = both.applyInPandas(lambda a, b: knn.search(a, b, k), "query_id long, cand_id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "cand_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _top(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
-    return pd.concat(parts).sort_values(["query_id", "distance", "cand_id"]).groupby("query_id", sort=False).head(k)
-
-
 def query_stats(neighbours: DataFrame, first: int = 20) -> DataFrame:
     """By query the least distance, and population variance and range over the first ranks."""
     return neighbours.where(F.col("rank") <= first).groupBy("query_id").agg(
