@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import catalog_plans, diff_plans, evaluate_plans, pair_plans, state_plans, store_plans, vector_plans
+from corvane.plans import catalog_plans, diff_plans, entity_plans, evaluate_plans, pair_plans, state_plans, store_plans, vector_plans
 from corvane.streaming import changefeed
 
-MODULES = [vector_plans, pair_plans, diff_plans, store_plans, state_plans, catalog_plans, evaluate_plans, changefeed]
+MODULES = [vector_plans, pair_plans, diff_plans, store_plans, state_plans, entity_plans, catalog_plans, evaluate_plans, changefeed]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
