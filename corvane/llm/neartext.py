@@ -25,6 +25,8 @@ from corvane.llm.graph import components
 from corvane.runtime import discard, materialise, ship
 
 WIDTH, LEAST, ANCHORS, WORDS64, REFERENCES, CHUNK, BLOCK, BLOCK_BYTES = 5, 0.8, 8, 4, 16, 128, 1024, 64 << 20
+#: Chunks whose rows carry their shingles are so many times smaller, as are their tasks.
+HEAVY = 4
 #: Sides of rows in a block: a key's pivot; rows apart from it against rows that are linked to it.
 PIVOT, APART, REST = -3, -2, -1
 #: Differing bits at most, for sets of FEW shingles or more, and for smaller ones, whose bits vary more.
@@ -270,7 +272,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK, chunk: int = CHUNK) ->
         grams = _shingles_of(docs, some.select("text_hash").distinct()).groupBy("same").agg(F.first("grams").alias("grams"))
         return some.join(sizes, "key").withColumns({"home": F.lit(True), "pivot": F.col("key")}).join(grams, "same")
 
-    links = _links(with_shingles(members), True, chunk, block, "text-links", lambda keys: with_shingles(members.join(keys, "key", "left_semi")))
+    links = _links(with_shingles(members), True, max(1, chunk // HEAVY), block, "text-links", lambda keys: with_shingles(members.join(keys, "key", "left_semi")))
     comp = components(links)
     root = materialise(classes.select("same", "rep", "copies").join(comp.withColumnRenamed("u", "rep"), "rep", "left").select("same", "copies", F.coalesce("component", "rep").alias("component")), "roots")
     total = rows.count()
