@@ -192,7 +192,14 @@ def boxes(spark, sf):
     return li.withColumn("x2", F.col("x1") + 20).withColumn("y2", F.col("y1") + 20)
 
 
-@query("k04_non_maximum_suppression")
+_INSIDE = "greatest(0, least(o.x2, b.x2) - greatest(o.x1, b.x1)) * greatest(0, least(o.y2, b.y2) - greatest(o.y1, b.y1))"
+
+
+@query("k04_non_maximum_suppression", f"""WITH RECURSIVE p AS (SELECT l_orderkey AS image, l_linenumber * 1000000 + l_partkey AS id, l_extendedprice / 100000 AS score, (l_partkey % 10) * 5.0::DOUBLE AS x1, (l_suppkey % 10) * 5.0::DOUBLE AS y1 FROM lineitem),
+b AS (SELECT image, {{'id': id, 'score': score, 'x1': x1, 'y1': y1, 'x2': x1 + 20, 'y2': y1 + 20}} AS b, row_number() OVER (PARTITION BY image ORDER BY score DESC, id) AS nth FROM p),
+st AS (SELECT image, nth, [b] AS kept FROM b WHERE nth = 1 UNION ALL SELECT b.image, b.nth, CASE WHEN len(list_filter(kept, lambda o: {_INSIDE} / ((o.x2 - o.x1) * (o.y2 - o.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {_INSIDE}) > 0.45)) = 0 THEN list_append(kept, b.b) ELSE kept END
+  FROM st JOIN b ON b.image = st.image AND b.nth = st.nth + 1)
+SELECT image, k.id AS id, k.score AS score FROM (SELECT image, unnest(kept) AS k FROM st QUALIFY row_number() OVER (PARTITION BY image ORDER BY nth DESC) = 1)""".replace("b.x", "b.b.x").replace("b.y", "b.b.y"))
 def k04(spark, sf):
     return K.suppress(boxes(spark, sf))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.operators import vector as V
 from corvane.operators import voting as T
 from corvane.runtime import materialise, table
-from corvane.sources.derived import mapping, vectors, with_ctes
+from corvane.sources.derived import CTES, mapping, vectors, with_ctes
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,6 +24,12 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _recursive(*parts: str) -> str:
+    """SQL of relations by name, a recursive one, and what comes after it."""
+    *names, own, tail = parts
+    return f"{with_ctes(*names).replace('WITH ', 'WITH RECURSIVE ', 1)},\n{own}\n{tail}"
+
+
 def r6(c: str) -> F.Column:
     return F.round(c, 6).alias(c)
 
@@ -161,12 +167,24 @@ def clustered(spark, sf):
     return T.cluster_faces(v, 0.95)
 
 
-@query("v17_cluster_faces")
+CTES["folded"] = (
+    ("vectors",),
+    """SELECT id // 25 AS item_id, id % 12 AS frame, id AS face_id, list_concat(a, b) AS v, row_number() OVER (PARTITION BY id // 25 ORDER BY id % 12, id) AS nth FROM vectors WHERE id % 5 = 0""",
+)
+#: The distances of a face from the sums of the clusters so far (a sum has its mean's direction), and the cluster that it joins.
+_AWAY = """list_transform(sums, lambda s: CASE WHEN list_inner_product(s, s) * list_inner_product(f.v, f.v) = 0 THEN 1.0 ELSE 1 - list_inner_product(s, f.v) / sqrt(list_inner_product(s, s) * list_inner_product(f.v, f.v)) END)"""
+_FOLD = f"""st AS (SELECT item_id, frame, face_id, nth, [v] AS sums, CAST(0 AS BIGINT) AS cluster FROM folded WHERE nth = 1
+  UNION ALL SELECT item_id, frame, face_id, nth, CASE WHEN at_ > len(sums) THEN list_append(sums, v) ELSE list_transform(sums, lambda s, i: CASE WHEN i = at_ THEN list_transform(list_zip(s, v), lambda z: z[1] + z[2]) ELSE s END) END, at_ - 1
+  FROM (SELECT f.*, sums, CASE WHEN list_min({_AWAY}) < 0.95 THEN list_position({_AWAY}, list_min({_AWAY})) ELSE len(sums) + 1 END AS at_ FROM st JOIN folded f ON f.item_id = st.item_id AND f.nth = st.nth + 1))"""
+
+
+@query("v17_cluster_faces", _recursive("folded", _FOLD, "SELECT item_id, frame, face_id, cluster FROM st"))
 def v17(spark, sf):
     return clustered(spark, sf)
 
 
-@query("v18_merge_clusters")
+@query("v18_merge_clusters", _recursive("folded", "faces", _FOLD, """, top AS (SELECT item_id, cluster, arg_min(entity, struct_pack(d := distance, f := face_id)) AS best FROM st JOIN (SELECT face_id, entity, distance FROM faces WHERE rank = 1) USING (face_id) GROUP BY ALL)
+SELECT item_id, cluster, best, min(cluster) OVER (PARTITION BY item_id, coalesce(best, concat('#', cluster))) AS merged FROM (SELECT DISTINCT item_id, cluster FROM st) LEFT JOIN top USING (item_id, cluster)"""))
 def v18(spark, sf):
     c, f = materialise(clustered(spark, sf), "clusters"), faces(spark, sf).where("rank = 1")
     return T.merge_clusters(c.join(f.select("face_id", "entity", "distance", "rank"), "face_id", "left"))
@@ -209,12 +227,23 @@ def _choices(m):
     return votes.withColumn("rank", F.row_number().over(w)).join(sizes, ["item_id", "cluster"])
 
 
-@query("v21_clustered_frequency")
+_GREEDY = f"""m AS ({_BY_LABEL}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, cluster ORDER BY score DESC, entity) AS rank FROM (SELECT item_id, cluster, entity, (1 - min(distance)) * (1 + 0.1 * (count(DISTINCT frame) - 1)) AS score FROM m GROUP BY ALL)),
+lists AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY size DESC, cluster) AS nth FROM (SELECT item_id, cluster, list(entity ORDER BY rank) AS wishes FROM ranked GROUP BY ALL)
+  JOIN (SELECT item_id, cluster, count(DISTINCT face_id) AS size FROM m GROUP BY ALL) USING (item_id, cluster)),
+st AS (SELECT item_id, cluster, nth, wishes AS free, wishes[1:1] AS used FROM lists WHERE nth = 1
+  UNION ALL SELECT item_id, cluster, nth, free, list_concat(used, free[1:1]) FROM (
+    SELECT l.item_id, l.cluster, l.nth, used, list_filter(wishes, lambda e: NOT list_contains(used, e)) AS free FROM st JOIN lists l ON l.item_id = st.item_id AND l.nth = st.nth + 1))
+SELECT item_id, cluster, free[1] AS entity, array_to_string(free[2:], ',') AS alternatives FROM st"""
+_GREEDY = _recursive("faces", "vectors", _GREEDY, "")
+
+
+@query("v21_clustered_frequency", _GREEDY)
 def v21(spark, sf):
     return T.assign_greedily(_choices(materialise(by_label(spark, sf), "by-label")))
 
 
-@query("v23_unique_assignment")
+@query("v23_unique_assignment", _GREEDY + " WHERE len(free) > 0")
 def v23(spark, sf):
     return T.assign_greedily(_choices(materialise(by_label(spark, sf), "by-label")), keep_unknown=False)
 
