@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import lifecycle as L
+from corvane.operators import release as R
 from corvane.operators.merge import FILLED, OLD, Stored
 from corvane.runtime import scratch_dir, table
 from corvane.sources.derived import CTES, with_ctes
@@ -179,3 +180,30 @@ def m11(spark, sf):
     stored.merge(stored.read().where("image % 10 = 0").select("image", "entity"), delete=F.lit(True))
     stored.merge(li.where("l_returnflag = 'N'").drop("l_returnflag"), order=[F.desc("line"), F.desc("confidence")])
     return stored.read()
+
+
+@query("s21_s22_release_update", """SELECT 'refused' AS stage, name, n FROM (SELECT 'customer' AS name, count(*) FILTER (WHERE c_custkey % 2 = 0) AS n FROM customer UNION ALL SELECT 'region', count(*) FROM region)
+UNION ALL SELECT 'updated', name, n FROM (SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'region', count(*) FROM region)""")
+def s21(spark, sf):
+    """Row counts of the tables in place, after a release with a changed file was refused, and after the same release, whole, was taken."""
+    data, new = scratch_dir(spark, "data"), scratch_dir(spark, "release")
+    tables = {name: table(spark, sf, name) for name in ("customer", "supplier", "region")}
+    tables["customer"].where("c_custkey % 2 = 0").write.parquet(f"{data}/customer")
+    tables["region"].write.parquet(f"{data}/region")
+    for name in ("customer", "supplier"):
+        tables[name].write.parquet(f"{new}/{name}")
+    R.publish(spark, new, "2")
+    at = R.Files(spark, new)
+    manifest = at.read(R.MANIFEST)
+    at.write(R.MANIFEST, manifest | {"checksums": dict.fromkeys(manifest["checksums"], "sha256:" + "0" * 64)})
+    counts = lambda stage, names: [spark.read.parquet(f"{data}/{n}").agg(F.count("*").alias("n")).select(F.lit(stage).alias("stage"), F.lit(n).alias("name"), "n") for n in names]
+    try:
+        R.update(spark, new, data, ["customer", "supplier"])
+    except ValueError:
+        refused = [x.collect()[0] for x in counts("refused", ["customer", "region"])]
+    at.write(R.MANIFEST, manifest)
+    R.update(spark, new, data, ["customer", "supplier"])
+    out = spark.createDataFrame(refused, "stage string, name string, n long")
+    for x in counts("updated", ["customer", "supplier", "region"]):
+        out = out.union(x)
+    return out
