@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm import hot
 from corvane.runtime import materialise, scratch_dir, ship, table
 
 LEAST_SHARED, PIECE = 100, 1 << 20
@@ -75,19 +76,21 @@ def records(pieces):
 
 
 def inflate(stream):
-    """Inflated pieces of a gzip stream of one member or many; a stream that is cut short raises."""
+    """Inflated pieces, of PIECE bytes at most, of a gzip stream of one member or many; a stream that is cut short raises."""
     z, begun = zlib.decompressobj(31), False
     while data := stream.read(PIECE):
         while data:
             begun = True
-            yield z.decompress(data)
-            data = z.unused_data
+            yield z.decompress(data, PIECE)
+            data = z.unused_data if z.eof else z.unconsumed_tail
             if z.eof:
                 z, begun = zlib.decompressobj(31), False
-            else:
-                break
-    if begun:
-        raise ValueError("the archive's compressed stream is cut short")
+    while begun:  # what the limit has held back
+        piece = z.decompress(b"", PIECE)
+        if not piece and not z.eof:
+            raise ValueError("the archive's compressed stream is cut short")
+        begun = not z.eof
+        yield piece
 
 
 def parse(raw: bytes) -> dict:
@@ -129,11 +132,11 @@ def plan_records(pages: DataFrame) -> DataFrame:
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"))
-    ids = rows.select("page_id", "digest", "size").distinct()
-    first = ids.where(F.col("size") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"))
+    ids = materialise(rows.select("page_id", "digest", "size").distinct(), "page-digests")
+    shared = ids.where(F.col("size") >= LEAST_SHARED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("m")).where("m > 1")
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     named = F.struct(F.col("page_id").isNull(), F.coalesce("page_id", F.lit(0))).alias("named")
-    told = ids.join(first, "digest", "left").select(named, "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"))
+    told = hot.join(ids, shared, "digest", "m", ids.count(), "left").select(named, "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"))
     return rows.withColumn("named", F.struct(F.col("page_id").isNull(), F.coalesce("page_id", F.lit(0)))).join(told, ["named", "digest"]).drop("named")
 
 
