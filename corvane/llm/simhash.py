@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.llm import hot
 from corvane.llm.graph import components
 from corvane.runtime import materialise, ship, table
 
@@ -89,12 +90,14 @@ def links(fps: DataFrame, dense: int = DENSE) -> DataFrame:
     )
     keyed = materialise(keyed, "pivots")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    open_keys, full_keys = sizes.where(F.col("n") <= dense).select("key"), sizes.where(F.col("n") > dense).select("key")
-    left = keyed.join(open_keys, "key", "left_semi")
+    total = keyed.count()
+    open_keys, full_keys = sizes.where(F.col("n") <= dense).select("key"), sizes.where(F.col("n") > dense)
+    heavy = F.broadcast(full_keys.where(F.col("n") * hot.HOT >= total).select("key"))  # their rows stay where they are
+    left = keyed.join(heavy, "key", "left_anti").join(open_keys, "key", "left_semi")
     a, b = left.select("key", F.col("fp").alias("u"), F.col("t").alias("tu")), left.select("key", F.col("fp").alias("v"), F.col("t").alias("tv"))
     far = F.array_max(F.zip_with("tu", "tv", lambda x, y: F.abs(x - y)))
     pairs = a.join(b, "key").where("v < u").where(far <= LIMIT).where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= LIMIT).select("u", "v")
-    crowded = keyed.join(full_keys, "key", "left_semi").select("fp").distinct()
+    crowded = hot.join(keyed, full_keys, "key", "n", total).select("fp").distinct()
     around = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64)))
     points = crowded.select("fp", F.explode(around).alias("point"))
     least = points.groupBy("point").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").select("point", "v")
@@ -110,12 +113,13 @@ def near_duplicates(docs: DataFrame, dense: int = DENSE) -> DataFrame:
     its group's component but never names one; repeated rows give repeated rows.
     """
     rows = materialise(fingerprints(docs), "fingerprints")
-    fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("m")), "distinct-fingerprints")
     comp = components(links(fps.select("fp"), dense))
-    named = fps.join(comp.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    named = fps.join(comp.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "m", "first_id", F.coalesce("component", "fp").alias("component"))
     named = materialise(named, "named")
-    root = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return rows.join(named.join(root, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    root = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("k"))
+    told = materialise(hot.join(named, root, "component", "k", named.count()).select("fp", "m", "component_id"), "told")
+    return hot.join(rows, told, "fp", "m", rows.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
