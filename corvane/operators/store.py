@@ -87,9 +87,12 @@ def queue_order(jobs: DataFrame) -> DataFrame:
 
 
 def submit(jobs: DataFrame, requests: DataFrame) -> DataFrame:
-    """``requests`` (type, ...) with answer: rejected where a job of the type is queued, running or stopping, else queued."""
-    busy = jobs.where(F.col("status").isin("queued", "running", "stopping")).select("type").distinct().withColumn("answer", F.lit("rejected"))
-    return requests.join(busy, "type", "left").withColumn("answer", F.coalesce("answer", F.lit("queued")))
+    """``requests`` (type, ...) with answer: rejected where a job of the type is queued, running or stopping, else queued. Of several requests of
+    one type the first by their other columns is queued."""
+    busy = jobs.where(F.col("status").isin("queued", "running", "stopping")).select("type").distinct().withColumn("_busy", F.lit(True))
+    first = Window.partitionBy("type").orderBy(*[c for c in requests.columns if c != "type"] or ["type"])
+    nth = requests.withColumn("_nth", F.row_number().over(first)).join(busy, "type", "left")
+    return nth.withColumn("answer", F.when(F.col("_busy").isNotNull() | (F.col("_nth") > 1), "rejected").otherwise("queued")).drop("_busy", "_nth")
 
 
 def transition(jobs: DataFrame, changes: DataFrame) -> DataFrame:

@@ -22,3 +22,9 @@ def test_insert_if_absent_takes_the_first(spark):
     old = spark.createDataFrame([("t", 1, 10)], "type string, target int, id int")
     new = spark.createDataFrame([("t", 1, 11), ("t", 2, 13), ("t", 2, 12)], "type string, target int, id int")
     assert sorted(map(tuple, S.insert_if_absent(old, new, ["type", "target"], F.col("id")).collect())) == [("t", 1, 10), ("t", 2, 12)]
+
+
+def test_second_request_of_a_type_is_rejected(spark):
+    jobs = spark.createDataFrame([("a", "running"), ("b", "failed")], "type string, status string")
+    asked = spark.createDataFrame([("a", 1), ("b", 3), ("b", 2), ("c", 4)], "type string, id int")
+    assert sorted(map(tuple, S.submit(jobs, asked).collect())) == [("a", 1, "rejected"), ("b", 2, "queued"), ("b", 3, "rejected"), ("c", 4, "queued")]
