@@ -159,3 +159,18 @@ def rerank(rows: DataFrame, group: str, body: Column, mark: Column, top: int) ->
     scored = rows.withColumn("score", 1 / (1 + F.col("distance")) * body * mark)
     w = Window.partitionBy(group).orderBy(F.desc("score"), "rank")
     return scored.withColumn("new_rank", F.row_number().over(w)).where(F.col("new_rank") <= top)
+
+
+def fuse_spaces(found: dict[str, DataFrame | None], weights: dict[str, float], missing: float) -> DataFrame:
+    """(query_id, cand_id, spaces, distance) over any number of spaces: the weighted mean of a candidate's distances, ``missing`` where a space that was searched
+    didn't find it. A space without an index (None) takes no part, and its weight goes to the others in proportion; ``spaces`` counts those that found the candidate."""
+    here = {n: df for n, df in found.items() if df is not None}
+    if not here:
+        raise ValueError("no space has an index")
+    whole = sum(weights[n] for n in here)
+    rows = None
+    for n, df in here.items():
+        one = df.select("query_id", "cand_id", F.lit(weights[n] / whole).alias("w"), "distance")
+        rows = one if rows is None else rows.union(one)
+    sums = rows.groupBy("query_id", "cand_id").agg(F.count("*").alias("spaces"), F.sum(F.col("w") * F.col("distance")).alias("d"), F.sum("w").alias("w"))
+    return sums.select("query_id", "cand_id", "spaces", (F.col("d") + (1 - F.col("w")) * missing).alias("distance"))

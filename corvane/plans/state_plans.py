@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.operators import lifecycle as L
 from corvane.operators import release as R
+from corvane.operators import store as S
 from corvane.operators.merge import FILLED, OLD, Stored
 from corvane.runtime import scratch_dir, table
 from corvane.sources.derived import CTES, with_ctes
@@ -207,3 +208,55 @@ def s21(spark, sf):
     for x in counts("updated", ["customer", "supplier", "region"]):
         out = out.union(x)
     return out
+
+
+@query("s06_s24_column_scans", """SELECT 'person' AS kind, c_custkey AS id, c_name AS name, count(o_orderkey) AS items FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL
+UNION ALL SELECT 'tag', p_partkey, p_name, 0 FROM part UNION ALL SELECT 'group', s_suppkey, s_name, 0 FROM supplier""")
+def s06(spark, sf):
+    """All entities of three kinds by the columns that a sync needs, people with their number of items; other columns are not read."""
+    items = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("o_orderkey").alias("items"))
+    people = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).join(items, "id", "left")
+    out = people.select(F.lit("person").alias("kind"), "id", "name", F.coalesce("items", F.lit(0).cast("long")).alias("items"))
+    none = F.lit(0).cast("long")
+    out = out.union(table(spark, sf, "part").select(F.lit("tag"), "p_partkey", "p_name", none))
+    return out.union(table(spark, sf, "supplier").select(F.lit("group"), "s_suppkey", "s_name", none))
+
+
+@query("b14_cleared_and_rerun", """SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'dismissed' WHEN o_orderkey % 2 = 0 THEN 'pending' ELSE 'resolved' END AS status,
+  CASE WHEN o_orderstatus <> 'F' AND o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS run FROM orders WHERE o_orderstatus = 'F' OR o_orderkey % 2 = 1 OR o_orderkey % 3 = 0""")
+def b14(spark, sf):
+    """A finder's table before and after a rerun: what is pending goes, then what was found anew comes in where nothing is left for its key."""
+    status = F.expr("case when o_orderstatus = 'F' then 'dismissed' when o_orderkey % 2 = 0 then 'pending' else 'resolved' end")
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.lit(1).alias("run"))
+    stored = Stored(spark, scratch_dir(spark, "findings"), ("id",), buckets=16)
+    stored.merge(rows)
+    stored.merge(stored.read().where("status = 'pending'").select("id"), delete=F.lit(True))
+    found = table(spark, sf, "orders").where("o_orderkey % 3 = 0 and (o_orderstatus = 'F' or o_orderkey % 2 = 0)").select(F.col("o_orderkey").alias("id"), F.lit("pending").alias("status"), F.lit(2).alias("run"))
+    stored.merge(found, {"status": OLD, "run": OLD})
+    return stored.read()
+
+
+@query("d24_link_if_absent", """SELECT s_suppkey AS entity, place, CASE WHEN place = 'a' AND s_nationkey < 10 THEN concat('old', s_suppkey) ELSE concat('new', s_suppkey) END AS ext_id, NOT (place = 'a' AND s_nationkey < 10) AS added
+FROM supplier, (VALUES ('a'), ('b')) v(place) WHERE place = 'a' AND s_nationkey < 10 OR s_name ILIKE '%1%'""")
+def d24(spark, sf):
+    """External ids of entities after links were asked for those that a search by name finds: one is added where the entity has none at that place."""
+    s = table(spark, sf, "supplier")
+    ids = s.where("s_nationkey < 10").select(F.col("s_suppkey").alias("entity"), F.lit("a").alias("place"), F.concat(F.lit("old"), "s_suppkey").alias("ext_id"))
+    hits = s.where(F.col("s_name").ilike("%1%")).select(F.col("s_suppkey").alias("entity"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("place"), F.concat(F.lit("new"), "s_suppkey").alias("ext_id"))
+    return S.insert_if_absent(ids.withColumn("added", F.lit(False)), hits.withColumn("added", F.lit(True)), ["entity", "place"], F.col("ext_id"))
+
+
+@query("w05_stable_order", "SELECT s_nationkey AS nation, s_suppkey AS id, row_number() OVER (PARTITION BY s_nationkey ORDER BY round(s_acctbal / 1000) DESC, length(s_name), s_suppkey) AS place FROM supplier")
+def w05(spark, sf):
+    """Places within a group by a rounded number downwards, then a length, then the id, so that ties have one order."""
+    s = table(spark, sf, "supplier")
+    w = Window.partitionBy("s_nationkey").orderBy(F.desc(F.round(F.col("s_acctbal") / 1000)), F.length("s_name"), "s_suppkey")
+    return s.select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("id"), F.row_number().over(w).alias("place"))
+
+
+@query("w06_top_k", "SELECT o_custkey AS owner, o_orderkey AS id, o_totalprice AS price FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
+def w06(spark, sf):
+    """The three best of each owner: a window with a group limit, which drops the others before the shuffle."""
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    best = table(spark, sf, "orders").withColumn("k", F.row_number().over(w)).where("k <= 3")
+    return best.select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))

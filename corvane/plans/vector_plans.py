@@ -308,3 +308,21 @@ def p05(spark, sf):
 def j12(spark, sf):
     a, b = near(spark, sf, "a"), near(spark, sf, "b")
     return a.select("query_id", "cand_id", F.round("distance", 6).alias("da")).join(b.select("query_id", "cand_id", F.round("distance", 6).alias("db")), ["query_id", "cand_id"])
+
+
+CTES["near_c"] = (
+    ("vectors",),
+    """SELECT query_id, cand_id, distance, rank FROM (SELECT q.id AS query_id, i.id AS cand_id, d AS distance, row_number() OVER (PARTITION BY q.id ORDER BY d, i.id) AS rank
+  FROM (SELECT id, list_concat(a, b) AS v FROM vectors WHERE id % 5 = 0) q JOIN (SELECT id, list_concat(a, b) AS v FROM vectors WHERE id % 5 <> 0) i ON true,
+  LATERAL (SELECT 1 - list_inner_product(q.v, i.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(i.v, i.v))) AS d)) WHERE rank <= 100""",
+)
+
+
+@query("s04_three_spaces", with_ctes("near_a", "near_b", "near_c", tail="""SELECT query_id, cand_id, count(*) AS spaces, round(sum(w * distance) + (1 - sum(w)) * 0.5, 6) AS distance FROM (
+  SELECT query_id, cand_id, distance, 0.3 / 0.8 AS w FROM near_a UNION ALL SELECT query_id, cand_id, distance, 0.3 / 0.8 FROM near_b UNION ALL SELECT query_id, cand_id, distance, 0.2 / 0.8 FROM near_c) GROUP BY query_id, cand_id"""))
+def s04(spark, sf):
+    """Both halves and the whole vector, and a fourth space whose index is absent."""
+    v = vectors(spark, sf).select("id", F.concat("a", "b").alias("vec"))
+    c = V.nearest(v.where("id % 5 = 0"), v.where("id % 5 <> 0"), 100)
+    found = {"a": near(spark, sf, "a"), "b": near(spark, sf, "b"), "c": c, "marks": None}
+    return V.fuse_spaces(found, {"a": 0.3, "b": 0.3, "c": 0.2, "marks": 0.2}, 0.5).select("query_id", "cand_id", "spaces", r6("distance"))
