@@ -20,11 +20,18 @@ from corvane.llm.text import ascii_lower
 from corvane.runtime import materialise, table
 
 BUCKETS = 131_072
+#: A word of symbols alone.
+BARE = r"(?<![^ \t-\r])[!-/:-@\[-`{-~]+(?![^ \t-\r])"
 #: The classifier learns from about so many labelled documents at most, chosen by a hash of the id.
 SAMPLE = 20_000
 PRIOR_DOCS, PRIOR_COUNT, LEAST_Z, LEAST_RATIO, TOLERANCE, STALL = 50.0, 5000.0, 5.0, 4.0, 1e-5, 1e-10
+#: For a domain that is told by the make-up of whole texts, words weigh in full in texts of up to so many distinct ones;
+#: in longer texts their mean counts as that of so many, or a long text's words would outweigh every trait.
+FULL_WEIGHT = 200
 #: Domains of the labelled table and the shares of tokens that they are to have.
 DOMAINS, TARGETS = ("clean", "toxic", "poor"), (0.96, 0.01, 0.03)
+#: The domain that the make-up of texts tells.
+POOR = 2
 #: The same for texts from which a quality classifier has taken the poor ones.
 GOOD_TARGETS = (0.99, 0.01)
 
@@ -38,22 +45,23 @@ def _words(text: Column) -> Column:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text and the like) with w, the words of the text, and b, the distinct buckets of its words and of traits of the whole text.
+    """``docs`` (doc_id, text and the like) with w, the words of the text, b, their distinct buckets, and m, the buckets of traits of the whole text.
 
     Traits begin with a space, which no word has: how varied, how long and how many the words are, and the shares of digits,
-    capitals, symbols and short words, each in steps, and three pairs of them."""
+    capitals, symbols, short words and words of symbols alone, each in steps, and four pairs of them."""
     rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("w", _words(F.col("text")))
     n, chars = F.greatest(F.size("w"), F.lit(1)), F.greatest(F.char_length("text"), F.lit(1))
     share = lambda kind: F.floor(-F.log2(F.regexp_count("text", F.lit(f"[{kind}]")) / chars + 1e-4) * 2)
     told = {
         "varied": F.floor(20 * F.size(F.array_distinct("w")) / n), "long": F.floor(2 * chars / n), "digits": share("0-9"), "capitals": share("A-Z"),
         "symbols": share(r"!#-&*+/<=>@\[-`{-~"), "short": F.floor(20 * F.size(F.filter("w", lambda x: F.char_length(x) <= 3)) / n), "words": F.floor(F.log2(n.cast("double"))),
+        "bars": F.floor(-F.log2(F.regexp_count("text", F.lit(BARE)) / n + 1e-3) * 2),
     }
     rows = rows.withColumns({k: v.cast("string") for k, v in told.items()})
-    traits = [("varied",), ("long",), ("digits",), ("capitals",), ("symbols",), ("short",), ("words",), ("varied", "words"), ("symbols", "long"), ("short", "long")]
+    traits = [("varied",), ("long",), ("digits",), ("capitals",), ("symbols",), ("short",), ("words",), ("bars",), ("varied", "words"), ("symbols", "long"), ("short", "long"), ("bars", "words")]
     marks = F.array(*(F.concat_ws(" ", F.lit(""), F.lit("+".join(t)), *t) for t in traits))
     marks = F.when(F.size("w") > 0, marks).otherwise(F.array(F.lit(" none")))
-    return rows.withColumn("b", F.array_distinct(F.transform(F.concat("w", marks), _bucket))).drop(*told)
+    return rows.withColumns({"b": F.array_distinct(F.transform("w", _bucket)), "m": F.transform(marks, _bucket)}).drop(*told)
 
 
 def _bucket(word: Column) -> Column:
@@ -74,7 +82,7 @@ def classifier(docs: DataFrame, domains: DataFrame, k: int, sample: int = SAMPLE
     priors = [0] * k
     for d, c in docs.select("doc_id").join(F.broadcast(few), "doc_id").groupBy("domain").count().collect():
         priors[d] = c
-    rows = _marked(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")).select("domain", F.explode_outer("b").alias("b"))  # no b is empty; a filter on it would compute it again
+    rows = _marked(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")).select("domain", F.explode_outer(F.array_union("b", "m")).alias("b"))  # no m is empty; a filter on it would compute it again
     counts = [[0] * BUCKETS for _ in range(k)]
     for d, b, c in rows.groupBy("domain", "b").count().collect():
         counts[d][b] = c
@@ -108,25 +116,40 @@ def _adder(weights: Column):
     return lambda a, i: a + F.get(weights, i)
 
 
-def posteriors(docs: DataFrame, priors: list[float], rest: list[float], ratios: dict[int, list[float]]) -> DataFrame:
+def _softmax(scores: Column) -> Column:
+    e = F.transform(scores, lambda s: F.exp(F.greatest(s - F.array_max(scores), F.lit(-50.0))))
+    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+
+
+def posteriors(docs: DataFrame, priors: list[float], rest: list[float], ratios: dict[int, list[float]], made_up: int | None = None) -> DataFrame:
     """(doc_id, row, n_tokens, posterior) for each row of ``docs``: a hash of the text, its words, and the domains' posteriors.
 
+    Where ``made_up`` names a domain that the make-up of texts tells, its posterior is that of scores in which the words of a text of more than
+    ``FULL_WEIGHT`` distinct ones all count, each for less; the other domains share what it leaves as their full scores say.
+
     Null and empty texts have no words and what the trait of having none tells; repeated rows stay."""
     place = [0] * BUCKETS
     for at, b in enumerate(sorted(ratios), 1):
         place[b] = at
     where = _literal(place, "int")
     rows = _marked(docs.select("doc_id", F.xxhash64("text").alias("row"), "text")).withColumn("n_tokens", F.size("w").cast("long"))
-    rows = rows.withColumn("i", F.filter(F.transform("b", lambda b: F.get(where, b)), lambda i: i > 0))
+    told = lambda buckets: F.filter(F.transform(buckets, lambda b: F.get(where, b)), lambda i: i > 0)
+    rows = rows.withColumns({"i": told("b"), "j": told("m")})
     others = (F.size("b") - F.size("i")).cast("double")
-    sums = []
+    scale = F.least(F.lit(1.0), FULL_WEIGHT / F.greatest(F.size("b"), F.lit(1)))
+    sums, scaled = [], []
     for d, prior in enumerate(priors):
         w = _literal([0.0, *(round(ratios[b][d], 6) for b in sorted(ratios))], "double")
-        sums.append(F.aggregate("i", F.lit(float(prior)) + others * F.lit(round(rest[d], 9)), _adder(w)))
-    rows = rows.withColumn("s", F.array(*sums))
-    rows = rows.withColumn("e", F.transform("s", lambda s: F.exp(F.greatest(s - F.array_max("s"), F.lit(-50.0)))))
-    rows = rows.withColumn("t", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
-    return rows.select("doc_id", "row", "n_tokens", F.transform("e", lambda e: e / F.col("t")).alias("posterior"))
+        rows = rows.withColumn(f"words{d}", F.aggregate("i", others * F.lit(round(rest[d], 9)), _adder(w)))
+        for found, weight in ((sums, F.lit(1.0)), (scaled, scale)):
+            found.append(F.aggregate("j", F.lit(float(prior)) + weight * F.col(f"words{d}"), _adder(w)))
+    rows = rows.withColumns({"full": F.array(*sums), "scaled": F.array(*scaled)})
+    if made_up is None:
+        return rows.select("doc_id", "row", "n_tokens", _softmax(F.col("full")).alias("posterior"))
+    without = F.transform("full", lambda s, d: F.when(d == made_up, F.lit(float("-inf"))).otherwise(s))
+    rows = rows.withColumns({"others": _softmax(without), "its": F.get(_softmax(F.col("scaled")), F.lit(made_up))})
+    shared = F.transform("others", lambda p, d: F.when(d == made_up, F.col("its")).otherwise(p * (1 - F.col("its"))))
+    return rows.select("doc_id", "row", "n_tokens", shared.alias("posterior"))
 
 
 def cell_of(posterior: Column) -> Column:
@@ -171,14 +194,14 @@ def fit(mass: np.ndarray, tokens: np.ndarray, targets: list[float], most: float)
     return rates, (mass.T @ rates - goal) / aim
 
 
-def mix(docs: DataFrame, domains: DataFrame, targets: tuple = TARGETS, most: float = 1.0) -> DataFrame:
+def mix(docs: DataFrame, domains: DataFrame, targets: tuple = TARGETS, most: float = 1.0, made_up: int | None = None) -> DataFrame:
     """For each row doc_id, row (xxhash64 of the text), n_tokens, posterior (array), rate and copies (rate rounded up or down by a hash of id and text).
 
     Null and empty texts have no tokens; null ids hash like others, texts under one id are told apart, and
-    repeated rows share their rate and copies. Warns where a target is missed by over a hundredth of it. An empty table gives no rows; other columns may have any names.
+    repeated rows share their rate and copies. ``made_up``: see :func:`posteriors`. Warns where a target is missed by over a hundredth of it. An empty table gives no rows; other columns may have any names.
     """
     k = len(targets)
-    rows = materialise(posteriors(docs.select("doc_id", "text"), *classifier(docs, domains, k)), "posteriors")
+    rows = materialise(posteriors(docs.select("doc_id", "text"), *classifier(docs, domains, k), made_up), "posteriors")
     rows = rows.withColumn("cell", cell_of(F.col("posterior")))
     sums = rows.groupBy("cell").agg(F.sum("n_tokens").cast("double"), *(F.sum(F.get("posterior", F.lit(j)) * F.col("n_tokens")) for j in range(k))).collect()
     sums = sorted(map(tuple, sums))  # as many as the posterior has steps, whatever the corpus
@@ -218,7 +241,7 @@ def labelled_good(labels: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each row of ``documents``, as :func:`mix` defines it for nulls, empty texts and repeated rows."""
-    out = mix(table(spark, sf_dir, "documents"), labelled(table(spark, sf_dir, "labels")), most=4.0)
+    out = mix(table(spark, sf_dir, "documents"), labelled(table(spark, sf_dir, "labels")), most=4.0, made_up=POOR)
     return out.select(
         "doc_id", "n_tokens", *(F.get("posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)), F.round("rate", 6).alias("rate"), "copies",
     )

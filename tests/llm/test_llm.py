@@ -328,14 +328,23 @@ def test_mixing_equals_a_plain_model(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), mixture.labelled(spark.read.parquet(f"{sf}/labels.parquet"))
     priors, rest, ratios = mixture.classifier(docs, labels, 3)
-    got = mixture.mix(docs, labels, most=4.0).toPandas()
-    marks = {r.doc_id: r for r in mixture._marked(docs.select("doc_id", "text")).select("doc_id", F.size("w").alias("n"), "b").collect()}
+    got = mixture.mix(docs, labels, most=4.0, made_up=mixture.POOR).toPandas()
+    marks = {r.doc_id: r for r in mixture._marked(docs.select("doc_id", "text")).select("doc_id", F.size("w").alias("n"), "b", "m").collect()}
     p = []
     for i in got.doc_id:
-        known = [b for b in marks[i].b if b in ratios]
-        s = np.array([priors[d] + rest[d] * (len(marks[i].b) - len(known)) + sum(ratios[b][d] for b in known) for d in range(3)])
-        e = np.exp(np.maximum(s - s.max(), -50))
-        p.append(e / e.sum())
+        words, traits = ([b for b in some if b in ratios] for some in (marks[i].b, marks[i].m))
+        scale = min(1.0, 200 / max(len(marks[i].b), 1))
+        shares = []
+        for weight in (1.0, scale):
+            s = []
+            for d in range(3):
+                of_words = rest[d] * (len(marks[i].b) - len(words)) + sum(ratios[b][d] for b in words)
+                s.append(priors[d] + weight * of_words + sum(ratios[b][d] for b in traits))
+            e = np.exp(np.maximum(np.array(s) - max(s), -50))
+            shares.append(e / e.sum())
+        toxic = 1 / (1 + np.exp(np.clip(np.log(shares[0][0]) - np.log(shares[0][1]), -50, 50)))
+        poor = shares[1][2]
+        p.append(np.array([(1 - toxic) * (1 - poor), toxic * (1 - poor), poor]))
     p = np.array(p)
     assert np.abs(p - np.array(got.posterior.tolist())).max() < 1e-3
     tokens = np.array([marks[i].n for i in got.doc_id])
@@ -352,6 +361,29 @@ def test_mixing_equals_a_plain_model(spark):
     assert (told[lab.domain == 2] == 2).mean() > 0.75 and (told[lab.domain == 0] == 0).mean() > 0.97
 
 
+def test_mixing_tells_labelled_rows_that_it_did_not_learn_from(spark):
+    """A quarter of the labelled rows is left out of the ratios: their domains are told, and few tokens of the poor and toxic pass as clean."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), mixture.labelled(spark.read.parquet(f"{sf}/labels.parquet"))
+    quarter = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4))
+    learned = mixture.classifier(docs, labels.where(quarter != 0), 3)
+    left_out = docs.join(labels.where(quarter == 0), "doc_id")
+    got = mixture.posteriors(left_out, *learned, made_up=mixture.POOR).join(labels, "doc_id").toPandas()
+    p, true, tokens = np.array(got.posterior.tolist()), got.domain.to_numpy(), got.n_tokens.to_numpy()
+    told = p.argmax(1)
+    assert (told == true).mean() > 0.95
+    assert [(told[true == d] == d).mean() > least for d, least in enumerate((0.96, 0.85, 0.95))] == [True] * 3
+    clean = p[:, 0] * tokens
+    assert clean[true == 2].sum() < 0.015 * clean.sum() and clean[true == 1].sum() < 0.03 * clean.sum()
+
+
+def test_mixing_knows_words_of_symbols_alone(spark):
+    texts = ["| a | b", "a|b", "", None, "--\t|\n...", "a- |b "]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    got = rows.select("k", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(mixture.BARE)).alias("n")).orderBy("k").collect()
+    assert [r.n for r in got] == [2, 0, 0, 0, 3, 0]
+
+
 def test_token_counts_and_cache(spark, odd):
     import public_tokenizers
     from tokenizers import Tokenizer
