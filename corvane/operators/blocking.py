@@ -51,10 +51,15 @@ def units(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
+def met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Both joined by a shuffle. Their rows were filed many times, which Spark's estimate of their size leaves out: it would send them whole through the driver."""
+    return left.hint("merge").join(right, keys)
+
+
 def self_block(rows: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:
     """Distinct pairs (a, b), a < b, of ids that share ``keys``; a null id or key meets nothing."""
     left, right = units(keyed(rows, keys, id_col))
-    pairs = left.join(right, ["key", "u", "v"]).where("u < v or x < y")
+    pairs = met(left, right, ["key", "u", "v"]).where("u < v or x < y")
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -123,7 +128,7 @@ def hamming_candidates(hashes: DataFrame, found: list[Band]) -> DataFrame:
         return rows.selectExpr(f"h as {name}", f"explode(concat({', '.join(calls)})) as at").select(name, "at.*")
 
     rows = materialise(hashes.selectExpr("h", *(f"{b.value()} as v{k}" for k, b in enumerate(found))), "bands")
-    return filed("hx", lambda b: (b.within + 1) // 2).join(filed("hy", lambda b: b.within // 2), ["k", "v"]).where("hx < hy").select("hx", "hy")
+    return met(filed("hx", lambda b: (b.within + 1) // 2), filed("hy", lambda b: b.within // 2), ["k", "v"]).where("hx < hy").select("hx", "hy")
 
 
 def hamming_join(hashes: DataFrame, limit: int = 10, bits: int = 64) -> DataFrame:
@@ -141,4 +146,4 @@ def hamming_join(hashes: DataFrame, limit: int = 10, bits: int = 64) -> DataFram
     if (most or 0) < 2:
         return apart
     left, right = units(rows)
-    return apart.union(left.join(right, ["key", "u", "v"]).where("u < v or x < y").select(*ends, F.lit(0)))
+    return apart.union(met(left, right, ["key", "u", "v"]).where("u < v or x < y").select(*ends, F.lit(0)))

@@ -69,3 +69,13 @@ def test_any_number_of_bands_meets_all(spark, count):
 def test_bands_widen_as_hashes_grow():
     widths = [max(len(b.bits) for b in B.bands(n, [n // 2] * 64, 10)) for n in (10**3, 10**6, 10**9)]
     assert widths == sorted(widths) and widths[0] < widths[-1]
+
+
+def test_filed_rows_do_not_pass_the_driver(spark):
+    """However small the hashes and keys look, what they are filed under is not broadcast."""
+    hs = spark.createDataFrame([(signed(h),) for h in hashes(random.Random(2), 60)], "h long").distinct()
+    plans = [B.hamming_candidates(hs, B.bands(10**6, [5 * 10**5] * 64, 10)), B.self_block(spark.range(50).withColumn("k", F.lit(1)), ["k"])]
+    for df in plans:
+        df.collect()
+        said = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in said and "Broadcast" not in said
