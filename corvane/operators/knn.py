@@ -17,27 +17,55 @@ from corvane.runtime import materialise
 
 #: Most vectors, and most bytes of them, that centroids are fitted on; most cells; rounds of fitting.
 SAMPLE, SAMPLE_BYTES, CELLS, ROUNDS = 20_000, 64 << 20, 2_048, 6
-#: Slack in angles and distances, beyond rounding.
-SLACK = 1e-6
+#: Slack in angles and distances, beyond rounding; that of a distance by a matrix product.
+SLACK, TINY = 1e-6, 1e-12
+#: Queries and index vectors that meet at a time, and most rows that one group of queries finds.
+TILE, FOUND = (512, 4_096), 1 << 20
 #: The cell of vectors without a direction, which are at distance one from everything.
 FLAT = -1
 
 
 def search(q: pd.DataFrame, x: pd.DataFrame, k: int) -> pd.DataFrame:
-    """(query_id, cand_id, distance): the k nearest rows of ``x`` for each row of ``q`` (both id, vec); of equal distances the smaller ids."""
+    """(query_id, cand_id, distance): the k nearest rows of ``x`` for each row of ``q`` (both id, vec); of equal distances the smaller ids.
+
+    A tile of queries meets a tile of ``x`` at a time and keeps what may be among its k nearest so far, so memory beyond both sides and the result is that of a tile. A
+    matrix product finds these rows; their distances are then summed in the order of the dimensions, so that equal vectors are at equal distances.
+    """
     if not len(q) or not len(x):
         return pd.DataFrame({"query_id": [], "cand_id": [], "distance": []})
     qid, ids = q["id"].to_numpy(), x["id"].to_numpy()
     a, b = np.stack(q["vec"].to_list()), np.stack(x["vec"].to_list())
-    a_norm, b_norm = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
-    best: list[pd.DataFrame] = []
-    for lo in range(0, len(ids), 4096):
-        some = ids[lo : lo + 4096]
-        norms = a_norm[:, None] * b_norm[lo : lo + 4096][None, :]
-        d = np.where(norms == 0, 1.0, 1 - (a @ b[lo : lo + 4096].T) / np.where(norms == 0, 1, norms))
-        order = np.lexsort((np.broadcast_to(some, d.shape), d), axis=1)[:, :k]
-        best.append(pd.DataFrame({"query_id": np.repeat(qid, order.shape[1]), "cand_id": some[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel()}))
-    return pd.concat(best).sort_values(["query_id", "distance", "cand_id"]).groupby("query_id", sort=False).head(k)
+    a_norm, b_norm = (np.sqrt(_dots(v, v, slice(None), slice(None))) for v in (a, b))
+    out: list[tuple[np.ndarray, ...]] = []
+    for top in range(0, len(qid), TILE[0]):
+        some, norm = a[top : top + TILE[0]], a_norm[top : top + TILE[0]]
+        row, col, dist = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        limit = np.full(len(some), np.inf)
+        for lo in range(0, len(ids), TILE[1]):
+            norms = norm[:, None] * b_norm[None, lo : lo + TILE[1]]
+            d = some @ b[lo : lo + TILE[1]].T
+            d = np.where(norms == 0, 1.0, 1 - np.divide(d, norms, out=d, where=norms != 0))
+            if d.shape[1] > k:
+                limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
+            r, c = np.nonzero(d <= limit[:, None] + TINY)
+            n = norm[r] * b_norm[lo + c]
+            exact = np.where(n == 0, 1.0, 1 - _dots(some, b, r, lo + c) / np.where(n == 0, 1, n))
+            row, col, dist = np.concatenate([row, r]), np.concatenate([col, lo + c]), np.concatenate([dist, exact])
+            order = np.lexsort((ids[col], dist, row))
+            row, col, dist = row[order], col[order], dist[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            limit[row[place == k - 1]] = dist[place == k - 1]
+            row, col, dist = row[place < k], col[place < k], dist[place < k]
+        out.append((qid[top + row], ids[col], dist))
+    return pd.DataFrame(dict(zip(("query_id", "cand_id", "distance"), map(np.concatenate, zip(*out)))))
+
+
+def _dots(a: np.ndarray, b: np.ndarray, r, c) -> np.ndarray:
+    """Products of rows ``r`` of one side and ``c`` of the other, summed in the order of the dimensions."""
+    out = a[r, 0] * b[c, 0]
+    for j in range(1, a.shape[1]):
+        out += a[r, j] * b[c, j]
+    return out
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -110,15 +138,20 @@ def visits(queries: DataFrame, centroids: np.ndarray, cells: pd.DataFrame, k: in
     return queries.mapInPandas(work, "id long, vec array<double>, cell int")
 
 
+def callers(room: int, k: int) -> int:
+    """Queries in one group: their vectors find room, and so does what they find."""
+    return max(1, min(room, FOUND // max(k, 1)))
+
+
 def meet(calls: DataFrame, index: DataFrame, k: int, room: int) -> DataFrame:
     """The k nearest that each of ``calls`` (id, vec, cell) finds in its cell of ``index`` (id, vec, cell).
 
-    A cell of more than ``room`` vectors is cut into parts that all its callers meet, and more than ``room`` callers into chunks that meet all parts, so no task
-    has more of either.
+    A cell of more than ``room`` vectors is cut into parts that all its callers meet, and callers that may find more than FOUND rows into chunks that meet all parts, so no
+    task has more of either.
     """
     spark = calls.sparkSession
     size = {r["cell"]: -(-r["n"] // room) for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    plan = [(r["cell"], size[r["cell"]], -(-r["n"] // room)) for r in calls.groupBy("cell").agg(F.count("*").alias("n")).collect()]
+    plan = [(r["cell"], size[r["cell"]], -(-r["n"] // callers(room, k))) for r in calls.groupBy("cell").agg(F.count("*").alias("n")).collect()]
     shares = F.broadcast(spark.createDataFrame(plan, "cell int, parts int, chunks int"))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")

@@ -49,7 +49,7 @@ def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """(query_id, cand_id, distance, rank): the exact k nearest of ``index`` (id, vec) for each of ``queries`` (id, vec).
 
     An index beyond one block is dealt to cells, of which a query meets those alone that may hold a neighbour (``knn``). A smaller one is dealt to the cores
-    by a hash of the ids, and each block of queries meets each of its parts. A window with a group limit merges what the tasks find.
+    by a hash of the ids, and each block of queries (no more than find ``knn.FOUND`` rows) meets each of its parts. A window with a group limit merges what the tasks find.
     """
     ship(queries.sparkSession)
     q, x = (df.where("vec is not null").select("id", F.col("vec").cast("array<double>").alias("vec")) for df in (queries, index))
@@ -58,7 +58,7 @@ def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     if sizes[1][0] > room:
         found = knn.pruned(q, x, k, sizes[1][0], sizes[1][1], room)
     else:
-        q_blocks = -(-sizes[0][0] // room) or 1
+        q_blocks = -(-sizes[0][0] // knn.callers(room, k)) or 1
         x_blocks = max(1, -(-queries.sparkSession.sparkContext.defaultParallelism // q_blocks))
 
         def dealt(rows: DataFrame, mine: int, others: int, names: tuple[str, str]) -> DataFrame:

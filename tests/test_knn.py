@@ -1,5 +1,7 @@
 """Nearest neighbours by cells against all distances."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -56,3 +58,18 @@ def test_fewer_vectors_than_asked_for(spark, monkeypatch):
     rows = V.nearest(frame(spark, [0], x[:1]), frame(spark, range(6), x), 50)
     assert sorted(r["cand_id"] for r in rows.collect()) == list(range(6))
     assert V.nearest(frame(spark, [0], x[:1]), frame(spark, range(6), x).limit(0), 5).count() == 0
+
+
+def test_many_queries_need_the_memory_of_a_tile():
+    rng = np.random.default_rng(6)
+    x, q = (pd.DataFrame({"id": range(n), "vec": list(rng.standard_normal((n, 8)))}) for n in (5_000, 6_000))
+    x.loc[4_000:, "vec"] = pd.Series(list(np.stack(x["vec"].to_list())[:1_000]), index=range(4_000, 5_000))  # twins, at equal distances
+    tracemalloc.start()
+    got = knn.search(q, x, 10)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 160 << 20  # all distances at once are 240 MB, and were held several times over
+    d = 1 - np.stack(q["vec"].to_list()[:50]) @ np.stack(x["vec"].to_list()).T / np.outer(*(np.linalg.norm(np.stack(v["vec"].to_list()[:n]), axis=1) for v, n in ((q, 50), (x, 5_000))))
+    d = d.round(12)
+    want = np.lexsort((np.broadcast_to(np.arange(5_000), d.shape), d))[:, :10]
+    assert got["cand_id"].to_numpy()[:500].tolist() == want.ravel().tolist()
