@@ -81,11 +81,12 @@ def band(confidence: Column) -> Column:
     return F.when(confidence >= 80, "High").when(confidence >= 50, "Likely").otherwise("Possible")
 
 
-def size_text(n: Column) -> Column:
-    """Bytes in steps of 1024 with one decimal."""
-    out = F.format_string("%.1f PB", n / 1024.0**5)
-    for k, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
-        out = F.when(n < 1024.0 ** (k + 1), F.format_string(f"%.1f {unit}", n / 1024.0**k)).otherwise(out)
+def size_text(n: Column, units: tuple[str, ...] = ("B", "KB", "MB", "GB", "TB", "PB")) -> Column:
+    """Bytes in steps of 1024 with one decimal, halves to the even one; the last unit takes all that is larger."""
+    out = F.lit(None).cast("string")
+    for k, unit in reversed(list(enumerate(units))):
+        fits = n.isNotNull() if k == len(units) - 1 else n < 1024.0 ** (k + 1)
+        out = F.when(fits, F.format_string(f"%.1f {unit}", F.bround(n / 1024.0**k, 1))).otherwise(out)
     return out
 
 

@@ -118,3 +118,15 @@ def test_gaps_and_batches(spark):
     df = spark.createDataFrame(pd.DataFrame({"k": [1, 2, 5, 9, 10]}))
     assert {tuple(r) for r in S.gaps(df, "k").collect()} == {(3, 4, 2), (6, 8, 3)}
     assert sorted(r.batch for r in S.batches(df, "k", 2).collect()) == [0, 0, 1, 1, 2]
+
+
+def test_sizes_round_and_end_as_asked(spark):
+    sizes = [0, 1, 1023, 1280, 1792, 1314, 5 << 19, (1 << 40) - 1, 1 << 40, 3 << 50, 5 << 60, None]
+    df = spark.createDataFrame([(float(n) if n is not None else None,) for n in sizes], "n double")
+
+    def want(n, units):
+        k = max(k for k in range(len(units)) if k == 0 or n >= 1024**k)
+        return f"{n / 1024**k:.1f} {units[k]}"
+
+    for units in (("B", "KB", "MB", "GB", "TB", "PB"), ("B", "KB", "MB", "GB")):
+        assert [r[0] for r in df.select(P.size_text(F.col("n"), units)).collect()] == [n if n is None else want(n, units) for n in sizes]
