@@ -7,7 +7,6 @@ operator, which says what becomes of them; an empty table stays empty.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corvane.llm import decontaminate, mixture, neartext, quality, shards, simhash
 from corvane.runtime import scratch_dir, table
@@ -36,22 +35,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and slot, read back from the rewritten files.
-
-    A document's own column named shard, slot or moved, in any case of letters, comes back with ``_before`` behind its name.
-    """
-    taken, aside = {c.lower() for c in docs.columns}, {}
-    for c in docs.columns:
-        if c.lower() in ("shard", "slot", "moved"):
-            aside[c] = f"{c}_before"
-            while aside[c].lower() in taken:
-                aside[c] += "_"
-            taken.add(aside[c].lower())
-    docs = docs.withColumnsRenamed(aside)
-    old = shards.old_shard(docs, shards.OLD_SHARDS)
-    placed = shards.reshard(docs, shards.text_size(F.col("text")), old, shards.OLD_SHARDS, shards.NEW_SHARDS)
-    out, _ = shards.rewrite(placed, shards.old_shard(placed, shards.OLD_SHARDS), scratch_dir(spark, "shards"))
-    return out.drop("moved")
+    """All documents with their shard and slot, read back from the rewritten files; clashing columns as ``shards.resharded_files`` says."""
+    return shards.resharded_files(spark, docs).drop("moved")
 
 
 STAGES = [

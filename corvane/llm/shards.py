@@ -140,25 +140,42 @@ def rewrite(resharded: DataFrame, old: Column, folder: str) -> tuple[DataFrame,
     """
     spark = resharded.sparkSession
     held = resharded.withColumn("shard", F.col("shard").cast("int"))
-    met = held.select(old.cast("int").alias("a"), F.col("shard").alias("b")).where("a <> b")
-    touched = sorted({j for r in met.distinct().collect() for j in r})  # pairs of shard numbers only
+    met = {tuple(r) for r in held.select(old.cast("int"), "shard").distinct().collect()}  # pairs of shard numbers only
+    touched = sorted({j for a, b in met if a is not None and a != b for j in (a, b)})
     changed = held.where(F.col("shard").isin(touched))
     changed.write.partitionBy("shard").parquet(folder)
     columns = held.columns
     back = spark.read.schema(held.schema).parquet(folder).select(*columns) if touched else held.limit(0)
+    if all(b in touched for _, b in met):
+        return back, touched
     return back.union(held.where(~F.col("shard").isin(touched)).select(*columns)), touched
 
 
 OLD_SHARDS, NEW_SHARDS = 6, 8
 
 
+def resharded_files(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """All of ``docs``, whole, with shard, slot and moved, read back from the rewritten files.
+
+    A document's own column named shard, slot or moved, in any case of letters, comes back with ``_before`` behind its name.
+    """
+    taken, aside = {c.lower() for c in docs.columns}, {}
+    for c in docs.columns:
+        if c.lower() in ("shard", "slot", "moved"):
+            aside[c] = f"{c}_before"
+            while aside[c].lower() in taken:
+                aside[c] += "_"
+            taken.add(aside[c].lower())
+    docs = docs.withColumnsRenamed(aside)
+    placed = reshard(docs, text_size(F.col("text")), old_shard(docs, OLD_SHARDS), OLD_SHARDS, NEW_SHARDS)
+    out, _ = rewrite(placed, old_shard(placed, OLD_SHARDS), scratch_dir(spark, "shards"))
+    return out
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each row of ``documents``, from the rewritten shards' files; a null text counts one byte, and equal rows are interchangeable."""
-    docs = table(spark, sf_dir, "documents")
-    text = F.coalesce("text", F.lit(""))
-    rows = materialise(docs.select("doc_id", text_size(text).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), old_shard(docs, OLD_SHARDS).alias("old_shard")), "rows")
-    out, _ = rewrite(reshard(rows, F.col("size"), F.col("old_shard"), OLD_SHARDS, NEW_SHARDS), F.col("old_shard"), scratch_dir(spark, "shards"))
+    """A row for each row of ``documents``; size and checksum are those of the text in the rewritten shards' files. A null text counts one byte, and equal rows are interchangeable."""
+    out = resharded_files(spark, table(spark, sf_dir, "documents"))
     return out.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved",
+        "doc_id", text_size(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), old_shard(out, OLD_SHARDS).alias("old_shard"), "moved",
     )

@@ -709,3 +709,16 @@ def test_pipeline_keeps_clean_rows(spark):
     assert set(cp.COLUMNS) <= set(out.columns) and got.doc_id.is_unique and 0.4 * docs.count() < len(got) < docs.count()
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert decontaminate.hits(out, bench).where("n_hit > 0").count() == 0
+
+
+def test_sharding_rewrites_whole_documents(spark, monkeypatch):
+    folders, rewrite = [], shards.rewrite
+    monkeypatch.setattr(shards, "rewrite", lambda rows, old, folder: folders.append(folder) or rewrite(rows, old, folder))
+    got = {r["doc_id"]: r for r in shards.query(spark, SF).collect()}
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    held = spark.read.parquet(folders[0]).collect()
+    assert len({r["doc_id"] for r in held}) == len(held) > len(docs) / 2  # all but shards that neither gain nor lose rows
+    for r in held:
+        d = docs[r["doc_id"]]
+        assert (r["text"], r["lang"], r["source"], r["shard"]) == (d["text"], d["lang"], d["source"], got[r["doc_id"]]["shard"])
+        assert got[r["doc_id"]]["text_crc32"] == zlib.crc32((d["text"] or "").encode())
