@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.runtime import spread
 
-def compare(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """(item_id, tp, fn, fp) of distinct (item_id, entity) pairs on both sides."""
-    e, f = expected.select("item_id", "entity").distinct().withColumn("e", F.lit(1)), found.select("item_id", "entity").distinct().withColumn("f", F.lit(1))
-    j = e.join(f, ["item_id", "entity"], "full_outer")
+
+def compare(expected: DataFrame, found: DataFrame, rows: int) -> DataFrame:
+    """(item_id, tp, fn, fp) of the distinct (item_id, entity) pairs of both sides, which have about ``rows`` rows each; a null item or entity is found nowhere on the other side."""
+    side = lambda df, e: df.select("item_id", "entity", F.lit(e).alias("e"), F.lit(not e).alias("f"))
+    both = spread(side(expected, True).union(side(found, False)), 2 * rows, "item_id")
+    alone = F.when(F.col("item_id").isNull() | F.col("entity").isNull(), F.col("e"))
+    j = both.groupBy("item_id", "entity", alone.alias("alone")).agg(F.bool_or("e").alias("e"), F.bool_or("f").alias("f"))
     n = lambda c: F.count_if(c)
-    return j.groupBy("item_id").agg(n(F.col("e").isNotNull() & F.col("f").isNotNull()).alias("tp"), n(F.col("f").isNull()).alias("fn"), n(F.col("e").isNull()).alias("fp"))
+    return j.groupBy("item_id").agg(n(F.col("e") & F.col("f")).alias("tp"), n(~F.col("f")).alias("fn"), n(~F.col("e")).alias("fp"))
 
 
 def metrics(tp: Column, fn: Column, fp: Column) -> dict[str, Column]:
