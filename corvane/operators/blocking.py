@@ -14,7 +14,7 @@ from math import comb, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.runtime import materialise
+from corvane.runtime import materialise, spread
 
 #: Ids in a part, and the share of all rows (1 / HOT) from which a key is sent to all tasks: HOT such keys at most.
 PART, HOT = 512, 10_000
@@ -58,9 +58,11 @@ def met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def self_block(rows: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:
     """Distinct pairs (a, b), a < b, of ids that share ``keys``; a null id or key meets nothing."""
-    left, right = units(keyed(rows, keys, id_col))
-    pairs = met(left, right, ["key", "u", "v"]).where("u < v or x < y")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    held = keyed(rows, keys, id_col)
+    n, unit = held.count(), ["key", "u", "v"]
+    left, right = (spread(side, n, *unit) for side in units(held))
+    pairs = met(left, right, unit).where("u < v or x < y")
+    return spread(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), n, "a", "b").distinct()
 
 
 def hamming(a: Column, b: Column) -> Column:

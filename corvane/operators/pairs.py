@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.blocking import hamming, hamming_join, self_block  # noqa: F401
+from corvane.runtime import spread
 
 
 def hash_of_hex(h: Column) -> Column:
@@ -120,13 +121,14 @@ def shared_id_groups(entities: DataFrame) -> DataFrame:
     return agg.where("members >= 2")
 
 
-def print_scores(local: DataFrame, remote: DataFrame) -> DataFrame:
+def print_scores(local: DataFrame, remote: DataFrame, rows: int) -> DataFrame:
     """Local hashes (item_id, hash, algorithm, total, duration) against remote ones (match_id, hash, duration, submissions).
 
     One row (item_id, match_id) with the share of local hashes found, whether an exact algorithm agrees, the mean
-    difference of durations, and whether the match is alone and strong enough.
+    difference of durations, and whether the match is alone and strong enough. Both sides have about ``rows`` rows each.
     """
-    j = local.join(remote.select("match_id", "hash", F.col("duration").alias("rd"), "submissions"), "hash")
+    remote = remote.select("match_id", "hash", F.col("duration").alias("rd"), "submissions")
+    j = spread(spread(local, rows, "hash").join(spread(remote, rows, "hash"), "hash"), 2 * rows, "item_id")
     agg = j.groupBy("item_id", "match_id").agg(
         F.countDistinct("hash").alias("n"), F.first("total").alias("total"), F.bool_or(F.col("algorithm").isin("MD5", "OSHASH")).alias("exact"),
         F.avg(F.when((F.col("rd") > 0) & (F.col("duration") > 0), F.abs(F.col("rd") - F.col("duration")))).alias("diff"), F.sum("submissions").alias("submissions"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.runtime import table
+from corvane.runtime import spread, table
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -104,4 +104,5 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def item_entities(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("entity")).distinct()
+    li = table(spark, sf, "lineitem")
+    return spread(li.select(F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("entity")), li.count(), "id").distinct()

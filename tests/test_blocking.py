@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corvane import runtime
 from corvane.operators import blocking as B
 
 
@@ -79,3 +80,10 @@ def test_filed_rows_do_not_pass_the_driver(spark):
         df.collect()
         said = df._jdf.queryExecution().executedPlan().toString()
         assert "Join" in said and "Broadcast" not in said
+
+
+def test_pairs_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "ROWS_A_TASK", 50)
+    out = B.self_block(spark.range(1_000).selectExpr("id", "id div 2 as k"), ["k"])
+    assert out.count() == 500
+    assert out.rdd.getNumPartitions() == 20  # of 1,000 rows filed, which were one task
