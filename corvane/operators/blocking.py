@@ -51,9 +51,9 @@ def units(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
-def met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Both joined by a shuffle. Their rows were filed many times, which Spark's estimate of their size leaves out: it would send them whole through the driver."""
-    return left.hint("merge").join(right, keys)
+def met(left: DataFrame, right: DataFrame, keys: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """Both joined by a shuffle. Rows that were filed many times, or that compress well, are far larger than Spark's estimate: it would send them whole through the driver."""
+    return left.hint("merge").join(right, keys, how)
 
 
 def self_block(rows: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:
@@ -144,7 +144,7 @@ def hamming_join(hashes: DataFrame, limit: int = 10, bits: int = 64) -> DataFram
     near = hamming_candidates(each.select("h"), bands(n, [x or 0 for x in ones], limit)).where(hamming(F.col("hx"), F.col("hy")) <= limit).distinct()
     side = lambda i, h: rows.select(F.col("id").alias(i), F.col("key.h").alias(h))
     ends = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    apart = near.join(side("x", "hx"), "hx").join(side("y", "hy"), "hy").where("x <> y").select(*ends, hamming(F.col("hx"), F.col("hy")).alias("distance"))
+    apart = met(met(near, side("x", "hx"), "hx"), side("y", "hy"), "hy").where("x <> y").select(*ends, hamming(F.col("hx"), F.col("hy")).alias("distance"))
     if (most or 0) < 2:
         return apart
     left, right = units(rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.operators.blocking import hamming, hamming_join, self_block  # noqa: F401
+from corvane.operators.blocking import hamming, hamming_join, met, self_block  # noqa: F401
 from corvane.runtime import spread
 
 
@@ -57,8 +57,8 @@ def signature_scores(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     p = prints.where("entity <> 'unknown'")
     size = p.groupBy("id").agg(F.countDistinct("entity").alias("k"))
     x, y = p.select(F.col("id").alias("a"), "entity", F.col("proportion").alias("px")), p.select(F.col("id").alias("b"), "entity", F.col("proportion").alias("py"))
-    both = pairs.select("a", "b").join(x, "a").join(y, ["b", "entity"]).groupBy("a", "b").agg(F.count("*").alias("shared"), F.avg(F.abs(F.col("px") - F.col("py"))).alias("diff"))
-    both = both.join(size.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(size.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
+    both = met(met(pairs.select("a", "b"), x, "a"), y, ["b", "entity"]).groupBy("a", "b").agg(F.count("*").alias("shared"), F.avg(F.abs(F.col("px") - F.col("py"))).alias("diff"))
+    both = met(met(both, size.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a"), size.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
     j = F.col("shared") / (F.col("ka") + F.col("kb") - F.col("shared"))
     score = F.least(F.lit(75.0), 60 * j + F.greatest(F.lit(0.0), 15 * (1 - 4 * F.col("diff"))))
     return both.select("a", "b", "shared", score.alias("face_score"))

@@ -87,3 +87,19 @@ def test_pairs_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
     out = B.self_block(spark.range(1_000).selectExpr("id", "id div 2 as k"), ["k"])
     assert out.count() == 500
     assert out.rdd.getNumPartitions() == 20  # of 1,000 rows filed, which were one task
+
+
+def test_pairs_and_what_they_meet_do_not_pass_the_driver(spark):
+    """However well pairs, items and prints compress, their joins are by a shuffle."""
+    from corvane.operators import pairs as P
+    from corvane.plans import pair_plans
+
+    cand = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    prints = spark.createDataFrame([(i, e, 0.5) for i in (1, 2, 3) for e in "xy"], "id long, entity string, proportion double")
+    hs = spark.createDataFrame([(k, h) for k, h in enumerate((1, 3, 1 << 40, 1))], "id long, h long")
+    sf = "/root/testdata/sf0.001"
+    plans = [P.signature_scores(cand, prints), B.hamming_join(hs), pair_plans.by_meta(spark, sf), pair_plans.meta_scores(spark, sf, cand.withColumn("source", F.lit("hash")))]
+    for df in plans:
+        df.collect()
+        said = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in said and "Broadcast" not in said
