@@ -681,6 +681,11 @@ def test_context_mixing_reads_the_order_of_words_and_finds_copies(spark):
     assert min(twice) > max(got[2000 + k].score for k in train if k >= 10)
 
 
+def test_buckets_of_many_words_are_those_of_each():
+    words = [bytes([a, b]) for a in range(0, 256, 3) for b in range(256)] + [bytes([a]) for a in range(256)] + [mixmodel.END, "été".encode(), b"long word"]
+    assert mixmodel.buckets_of(words).tolist() == [mixmodel.bucket_of(w) for w in words] and not len(mixmodel.buckets_of([]))
+
+
 @pytest.mark.parametrize("symbols", [None, 2])
 def test_model_probabilities_sum_to_one(monkeypatch, symbols):
     """Over all leaves after some words, over all words of a bucket, and over all bytes of a spelling."""
