@@ -103,3 +103,14 @@ def test_pairs_and_what_they_meet_do_not_pass_the_driver(spark):
         df.collect()
         said = df._jdf.queryExecution().executedPlan().toString()
         assert "Join" in said and "Broadcast" not in said
+
+
+@pytest.mark.parametrize("name", ["b03_shared_id_test", "b04_b05_jaccard_and_days", "b07_face_signature", "b09_hash_score", "b10_pair_confidence", "b12_findings"])
+def test_pair_queries_broadcast_nothing(spark, name):
+    """Whole queries, with the candidates, items and prints that they make themselves."""
+    from corvane.plans import pair_plans
+
+    df = pair_plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+    df.collect()
+    said = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in said and "Broadcast" not in said
